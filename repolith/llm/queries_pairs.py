@@ -1,4 +1,84 @@
-"""Queries over pairs and markup."""
+"""Queries over pairs, names and markup."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from fractions import Fraction
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from repolith.functions.time import instant
+from repolith.llm import cooccur, setjoin
+from repolith.session import pin
+from repolith.storage import table
+
+
+def current_topics(repos: DataFrame) -> DataFrame:
+    """(repo_id, items) of each repository's current row; a list that can't be read is empty.
+
+    On ties of both instants the greatest text counts.
+    """
+    row = F.struct(instant("last_synced_at").alias("t"), F.col("arrived_at").alias("a"), F.col("topics_json").alias("j"))
+    now = repos.filter("id is not null").groupBy(F.col("id").alias("repo_id")).agg(F.max(row).alias("r"))
+    items = F.from_json("r.j", "array<string>")
+    return now.select("repo_id", F.transform(F.filter(items, lambda x: x.isNotNull()), lambda x: F.lower(F.trim(x))).alias("items"))
+
+
+def declared(dependencies: DataFrame) -> DataFrame:
+    """(repo_id, name) with names lower-cased and trimmed."""
+    return dependencies.select("repo_id", F.lower(F.trim("name")).alias("name"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    topics = current_topics(table(pin(spark), d, "repos"))
+    names = declared(table(spark, d, "dependencies")).filter("repo_id is not null and name is not null")
+    names = names.groupBy("repo_id").agg(F.collect_set("name").alias("items"))
+    made = [
+        setjoin.similar(df, "repo_id", "items", Fraction(6, 10), least=3).select(F.lit(field).alias("field"), "repo_id_a", "repo_id_b")
+        for field, df in (("topics", topics), ("dependencies", names))
+    ]
+    return made[0].unionByName(made[1])
+
+
+def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return cooccur.cooccurrence(declared(table(pin(spark), d, "dependencies")), "repo_id", "name", min_count=2)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    made = cooccur.cooccurrence(declared(table(pin(spark), d, "dependencies")), "repo_id", "name", min_count=5, min_lift=4)
+    return made.select(F.col("a").alias("name_a"), F.col("b").alias("name_b"))
+
+
+QUERIES = {"p5_found": p5_found, "p7_found": p7_found, "p7_pairs": p7_pairs}
+
+PAIRS_SQL = """
+WITH d AS (SELECT DISTINCT repo_id, lower(trim(name, ' ')) AS name FROM dependencies WHERE repo_id IS NOT NULL AND name IS NOT NULL),
+n AS (SELECT count(DISTINCT repo_id) AS n FROM dependencies),
+s AS (SELECT name, count(*) AS k FROM d GROUP BY ALL),
+p AS (SELECT x.name AS a, y.name AS b, count(*) AS n_ab FROM d x JOIN d y ON x.repo_id = y.repo_id AND x.name < y.name GROUP BY ALL)
+"""
+
+SQL = {
+    "p5_found": """
+WITH now AS (
+  SELECT id, topics_json FROM repos WHERE id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY last_synced_at::TIMESTAMPTZ DESC, arrived_at DESC, topics_json DESC NULLS LAST) = 1),
+i AS (
+  SELECT DISTINCT 'topics' AS field, id AS repo_id, lower(trim(x, ' ')) AS item
+  FROM (SELECT id, unnest(from_json(CASE WHEN json_valid(topics_json) THEN topics_json END, '["VARCHAR"]')) AS x FROM now)
+  UNION
+  SELECT 'dependencies', repo_id, lower(trim(name, ' ')) FROM dependencies WHERE repo_id IS NOT NULL AND name IS NOT NULL),
+n AS (SELECT field, repo_id, count(*) AS n FROM i GROUP BY ALL HAVING count(*) >= 3),
+c AS (
+  SELECT x.field, x.repo_id AS a, y.repo_id AS b, count(*) AS c
+  FROM i x JOIN i y ON x.field = y.field AND x.item = y.item AND x.repo_id < y.repo_id GROUP BY ALL)
+SELECT c.field, a AS repo_id_a, b AS repo_id_b
+FROM c JOIN n x ON x.field = c.field AND x.repo_id = a JOIN n y ON y.field = c.field AND y.repo_id = b
+WHERE 10 * c >= 6 * (x.n + y.n - c)""",
+    "p7_found": PAIRS_SQL
+    + """SELECT a AS name_a, b AS name_b FROM p JOIN s x ON x.name = a JOIN s y ON y.name = b, n
+WHERE n_ab >= 5 AND n_ab * n >= 4 * x.k * y.k""",
+    "p7_pairs": PAIRS_SQL
+    + """SELECT a, b, n_ab, x.k AS n_a, y.k AS n_b, n_ab * n / (x.k * y.k) AS lift, ln(n_ab * n / (x.k * y.k)) AS pmi
+FROM p JOIN s x ON x.name = a JOIN s y ON y.name = b, n WHERE n_ab >= 2""",
+}
