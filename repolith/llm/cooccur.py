@@ -53,7 +53,7 @@ def cooccurrence(
         small = kept.join(F.broadcast(numbers), "k", "left_anti")  # at most 100,000 rows
     pairs = (
         small.groupBy("k")
-        .agg(F.array_sort(F.collect_list("i")).alias("items"))  # at most pairs_from items
+        .agg(F.sort_array(F.collect_list("i")).alias("items"))  # at most pairs_from items
         .select("items", F.posexplode("items").alias("p", "a"))
         .select("a", F.explode(F.slice("items", F.col("p") + 2, F.size("items"))).alias("b"))
         .groupBy("a", "b")
@@ -74,7 +74,7 @@ def cooccurrence(
 
 def _with_large(pairs: DataFrame, members: DataFrame, count: int, min_count: int) -> DataFrame:
     """Add to the pairs of small baskets how often their items meet in large ones."""
-    held = members.groupBy("i").agg(F.array_sort(F.collect_list("no")).alias("s"))  # numbers of large baskets, which are few
+    held = members.groupBy("i").agg(F.sort_array(F.collect_list("no")).alias("s"))  # numbers of large baskets, which are few
     if count >= min_count:
         groups = held.groupBy("s").agg(F.count("*").alias("c")).filter(F.size("s") >= min_count).select("s", F.explode("s").alias("no"))
         met = (

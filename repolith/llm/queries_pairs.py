@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolith.functions.time import instant
-from repolith.llm import cooccur, setjoin
+from repolith.llm import cooccur, setjoin, sitetree
 from repolith.session import pin
 from repolith.storage import table
 
@@ -29,6 +29,24 @@ def declared(dependencies: DataFrame) -> DataFrame:
     return dependencies.select("repo_id", F.lower(F.trim("name")).alias("name"))
 
 
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Clean text of release notes and issue titles; a repository is a host."""
+    notes = table(pin(spark), d, "releases").select("repo_id", "id", F.col("notes").alias("body"))
+    titles = table(spark, d, "issues").select("repo_id", "id", F.col("title").alias("body"))
+    made = sitetree.clean(notes.unionByName(titles), F.col("repo_id"), F.col("id"), F.col("body"))
+    return made.withColumnRenamed("record", "record_id")
+
+
+def p3_hosts(spark: SparkSession, d: str) -> DataFrame:
+    """Importance of each repository's tree of release notes."""
+    notes = table(pin(spark), d, "releases")
+    return sitetree.host_importance(sitetree.read_pages(notes, F.coalesce("repo_id", F.lit("")), F.col("id"), F.col("notes")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_clean(spark, d).select("record_id", F.explode("structure").alias("structure")).distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     topics = current_topics(table(pin(spark), d, "repos"))
     names = declared(table(spark, d, "dependencies")).filter("repo_id is not null and name is not null")
@@ -49,7 +67,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return made.select(F.col("a").alias("name_a"), F.col("b").alias("name_b"))
 
 
-QUERIES = {"p5_found": p5_found, "p7_found": p7_found, "p7_pairs": p7_pairs}
+QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p3_hosts": p3_hosts, "p5_found": p5_found, "p7_found": p7_found, "p7_pairs": p7_pairs}
 
 PAIRS_SQL = """
 WITH d AS (SELECT DISTINCT repo_id, lower(trim(name, ' ')) AS name FROM dependencies WHERE repo_id IS NOT NULL AND name IS NOT NULL),

@@ -93,7 +93,7 @@ def signatures(tokens: list[int], low: int, high: int, segments: int) -> Iterato
 
 def classes(df: DataFrame, record: str, items: str) -> tuple[DataFrame, DataFrame]:
     """(class, items, n) of the distinct sets and (record, class) of their members."""
-    made = df.select(F.col(record).alias("r"), F.array_sort(F.array_distinct(F.col(items))).alias("items")).filter("r is not null and items is not null")
+    made = df.select(F.col(record).alias("r"), F.sort_array(F.array_distinct(F.col(items))).alias("items")).filter("r is not null and items is not null")
     made = made.withColumn("class", F.sha2(F.to_json("items"), 256)).distinct()
     sets = made.groupBy("class").agg(F.any_value("items").alias("items")).withColumn("n", F.size("items"))
     return sets, made.select(F.col("r").alias(record), "class")
@@ -159,7 +159,7 @@ def similar_classes(sets: DataFrame, threshold: Fraction, least: int = 1) -> Dat
             F.flatten(F.collect_list("units")).alias("units"),
             F.collect_list(F.struct("seg", "keys")).alias("segs"),
         )
-        .withColumn("taken", F.transform(F.slice(F.array_sort("units"), 1, F.col("budget")), lambda u: u["seg"]))
+        .withColumn("taken", F.transform(F.slice(F.sort_array("units"), 1, F.col("budget")), lambda u: u["seg"]))
         .select("class", "n", "taken", F.explode("segs").alias("s"))
         .withColumn("weight", F.size(F.filter("taken", lambda x: x == F.col("s.seg"))))
         .filter("weight > 0")
