@@ -16,26 +16,25 @@ from collections.abc import Iterator
 from fractions import Fraction
 from math import ceil, floor
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from repolith.storage import materialize
+
 #: Sets up to this length have segments of their own length; longer ones share those of a range of lengths.
 EXACT_LENGTHS = 24
 RANGE_RATIO = 1.1
-MASK = (1 << 64) - 1
-
-
-def _mix(x: int) -> int:
-    """A 64-bit finalizer, as hashes are added up."""
-    x = (x ^ (x >> 33)) * 0xFF51AFD7ED558CCD & MASK
-    x = (x ^ (x >> 33)) * 0xC4CEB9FE1A85EC53 & MASK
-    return x ^ (x >> 33)
+#: Frequencies are known of the tokens that make up more than one of so many places.
+HOT_TOKENS = 20_000
 
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer for each element, as hashes are added up."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
 
 class Layout:
@@ -68,6 +67,10 @@ class Layout:
             return max(s + l - 2 * self.common(s, l) for s in range(low, high + 1) for l in range(s, self.longest(s) + 1))
         return floor((1 - self.t) / (1 + self.t) * (high + self.longest(high)))
 
+    def between(self, n: int, low: int, high: int) -> int:
+        """Most different tokens of a set of length n and a similar one within the range and not longer."""
+        return max(s + n - 2 * self.common(s, n) for s in range(max(low, self.shortest(n)), min(high, n) + 1))
+
     def ranges_from(self, a: int, b: int) -> list[tuple[int, int]]:
         """The ranges of the lengths a to b."""
         found = []
@@ -77,115 +80,149 @@ class Layout:
         return found
 
 
-def signatures(tokens: list[int], low: int, high: int, segments: int) -> Iterator[tuple[int, int, int]]:
-    """(segment, kind, key) of a set's tokens for one range; kind 0: whole segment, 1: one token deleted."""
-    parts: list[list[int]] = [[] for _ in range(segments)]
-    for t in tokens:
-        m = _mix(t ^ (low * 0x9E3779B97F4A7C15 & MASK))
-        parts[m % segments].append(m)
-    for g, part in enumerate(parts):
-        salt = _mix((low << 40) ^ (high << 20) ^ g)
-        whole = sum(part)
-        yield g, 0, _signed(_mix(((whole & MASK) ^ salt)))
-        for m in part:
-            yield g, 1, _signed(_mix((((whole - m) & MASK) ^ salt)))
+class Segments:
+    """Segments of many sets of one length, for one range of lengths; a row for each set."""
+
+    def __init__(self, tokens: np.ndarray, low: int, segments: int):
+        self.low, self.m, self.rows = low, segments, np.arange(len(tokens))[:, None]
+        salt = np.uint64(low * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        self.mixed = _mix(tokens ^ salt)
+        self.seg = (self.mixed % np.uint64(segments)).astype(np.int64)
+        self.whole = np.zeros((len(tokens), segments), np.uint64)
+        for i in range(tokens.shape[1]):
+            self.whole[self.rows[:, 0], self.seg[:, i]] += self.mixed[:, i]
+
+    def keys(self, sums: np.ndarray, seg: np.ndarray, deleted: int) -> np.ndarray:
+        salt = _mix(np.uint64(self.low << 24) ^ (seg.astype(np.uint64) << np.uint64(1)) ^ np.uint64(deleted))
+        return _mix(sums ^ salt)
+
+    def whole_keys(self, deleted: int) -> np.ndarray:
+        return self.keys(self.whole, np.broadcast_to(np.arange(self.m), self.whole.shape), deleted)
+
+    def less_keys(self, deleted: int) -> np.ndarray:
+        """For each token the key of its segment without it."""
+        return self.keys(self.whole[self.rows, self.seg] - self.mixed, self.seg, deleted)
+
+
+def index_keys(tokens: np.ndarray, low: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of what sets can be found by: each segment as it is, and with one of its tokens deleted."""
+    s = Segments(tokens, low, segments)
+    keys = np.concatenate([s.whole_keys(0), s.less_keys(1)], axis=1)
+    return np.repeat(np.arange(len(tokens)), keys.shape[1]), keys.ravel()
+
+
+def probe_keys(tokens: np.ndarray, counts: np.ndarray, low: int, segments: int, budget: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of what sets ask for: tests of their segments whose weights add up to ``budget``.
+
+    ``counts`` says in how many sets each token is.  A test of a segment meets
+    at most as many sets as hold its rarest token, and may meet all of them if
+    it has none.  The weights are given where this costs least: a segment's
+    second unit needs the first, so where it is the cheaper one both cost their
+    mean.
+    """
+    s = Segments(tokens, low, segments)
+    size = np.zeros((len(tokens), segments), np.int64)
+    least = np.full((len(tokens), segments), most, np.float64)
+    second = np.full((len(tokens), segments), most, np.float64)
+    r = s.rows[:, 0]
+    for i in range(tokens.shape[1]):
+        g, c = s.seg[:, i], counts[:, i]
+        a, b = least[r, g], second[r, g]
+        second[r, g] = np.minimum(b, np.maximum(a, c))
+        least[r, g] = np.minimum(a, c)
+        size[r, g] += 1
+    # One token more in the other set; or one less: any but the rarest, or the rarest itself.
+    two = least + np.where(size > 0, np.maximum(size - 1, 0) * least + second, most)
+    mean = (least + two) / 2
+    cost = np.stack([np.where(two >= least, least, mean), np.where(two >= least, two, mean)], axis=2).reshape(len(tokens), 2 * segments)
+    taken = np.argsort(cost, axis=1, kind="stable")[:, :budget] // 2
+    weight = np.zeros((len(tokens), segments), np.int64)
+    np.add.at(weight, (np.repeat(r, taken.shape[1]), taken.ravel()), 1)
+    parts = []
+    for keys, wanted in (
+        (s.whole_keys(0), weight > 0),
+        (s.whole_keys(1), weight > 1),
+        (s.less_keys(0), weight[s.rows, s.seg] > 1),
+    ):
+        at = np.nonzero(wanted)
+        parts.append((at[0], keys[at]))
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 def classes(df: DataFrame, record: str, items: str) -> tuple[DataFrame, DataFrame]:
-    """(class, items, n) of the distinct sets and (record, class) of their members."""
+    """(class, items, n) of the distinct sets and (record, class) of their members.
+
+    A class is named by 128 bits of a cryptographic hash of its items.
+    """
     made = df.select(F.col(record).alias("r"), F.sort_array(F.array_distinct(F.col(items))).alias("items")).filter("r is not null and items is not null")
-    made = made.withColumn("class", F.sha2(F.to_json("items"), 256)).distinct()
-    sets = made.groupBy("class").agg(F.any_value("items").alias("items")).withColumn("n", F.size("items"))
-    return sets, made.select(F.col("r").alias(record), "class")
+    made = made.withColumn("class", F.unhex(F.substring(F.sha2(F.to_json("items"), 256), 1, 32)))
+    sets = made.select("class", "items").distinct().withColumn("n", F.size("items"))
+    return sets, made.select(F.col("r").alias(record), "class").distinct()
 
 
 def similar_classes(sets: DataFrame, threshold: Fraction, least: int = 1) -> DataFrame:
     """(a, b): classes a < b of different sets with Jaccard similarity >= threshold.
 
     ``sets`` has (class, items, n), one row per distinct set; sets of fewer than
-    ``least`` items take part in no pair.  Token hashes of 64 bits select
-    candidates, verification compares the items themselves.
+    ``least`` items take part in no pair.  Hashes of 64 bits select candidates;
+    verification compares the items themselves.
     """
     layout = Layout(threshold)
     num, den = threshold.numerator, threshold.denominator
-    able = sets.filter(F.col("n") >= max(1, least))
-    hashed = able.select("class", "n", F.transform("items", lambda x: F.xxhash64(x)).alias("t"))
-    schema = T.StructType.fromDDL("class string, n int, low int, budget int, seg int, kind int, key long")
-
-    def emit(probe: bool):
+    able = materialize(sets.filter(F.col("n") >= max(1, least)).withColumn("h", F.xxhash64("class")), "sets")
+    counted = able.agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).first()
+    # Tokens in more than one of HOT_TOKENS of all places are at most HOT_TOKENS many; all others count as just as frequent as this bound.
+    rare = max(1, (counted["tokens"] or 0) // HOT_TOKENS)
+    hot = able.select(F.explode("items").alias("i")).groupBy(F.xxhash64("i").alias("t")).agg(F.count("*").alias("c")).filter(F.col("c") > rare)
+    often = sorted((r["t"], r["c"]) for r in hot.collect())
+    most = counted["sets"]
+    hashed = able.select("h", "n", F.transform("items", lambda x: F.xxhash64(x)).alias("t"))
+    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("key", T.LongType())])
+
+    def emit(probe: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known: dict = {}
+            names = np.array([t for t, _ in often], np.int64)
+            known_counts = np.array([c for _, c in often] + [rare], np.int64)
+            segments: dict[int, int] = {}
             for b in batches:
-                rows = []
-                for c, n, tokens in zip(*(x.to_pylist() for x in b.columns)):
-                    ranges = layout.ranges_from(layout.shortest(n), n) if probe else [layout.range_of(n)]
-                    for low, high in ranges:
-                        if (low, high) not in known:
-                            known[low, high] = layout.apart(low, high) + 1
-                        budget = known[low, high]
-                        rows += [(c, n, low, budget, *s) for s in signatures(tokens, low, high, budget)]
-                    if len(rows) > 50_000:
-                        yield _batch(rows)
-                        rows = []
-                if rows:
-                    yield _batch(rows)
-
-        def _batch(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.string(), *[pa.int32()] * 5, pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=schema.names)
+                h, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+                values, starts = b.column(2).flatten().to_numpy(), np.concatenate([[0], np.cumsum(n)])[:-1]
+                for length in np.unique(n).tolist():
+                    rows = np.flatnonzero(n == length)
+                    for part in np.array_split(rows, max(1, len(rows) * length // 500_000)):
+                        tokens = values[starts[part][:, None] + np.arange(length)]
+                        if probe and len(names):
+                            at = np.minimum(np.searchsorted(names, tokens), len(names) - 1)
+                            counts = known_counts[np.where(names[at] == tokens, at, len(names))]
+                        else:
+                            counts = np.full(tokens.shape, rare)
+                        for low, high in layout.ranges_from(layout.shortest(length), length) if probe else [layout.range_of(length)]:
+                            if low not in segments:
+                                segments[low] = layout.apart(low, high) + 1
+                            if probe:
+                                row, key = probe_keys(tokens.view(np.uint64), counts, low, segments[low], layout.between(length, low, high) + 1, most)
+                            else:
+                                row, key = index_keys(tokens.view(np.uint64), low, segments[low])
+                            yield pa.RecordBatch.from_arrays([pa.array(h[part[row]]), pa.array(key.view(np.int64))], names=["h", "key"])
 
         return hashed.mapInArrow(run, schema)
 
-    index, probes = emit(False), emit(True)
-    often = index.groupBy("key").agg(F.count_if(F.col("kind") == 0).alias("whole"), F.count_if(F.col("kind") == 1).alias("less"))
-    # One row per set, range and segment: candidates met by testing it for equality, and further ones by allowing one token.
-    costs = (
-        probes.join(often, "key", "left")
-        .groupBy("class", "n", "low", "budget", "seg")
-        .agg(
-            F.sum(F.when(F.col("kind") == 0, F.col("whole")).otherwise(0)).alias("one"),
-            F.sum(F.when(F.col("kind") == 0, F.col("less")).otherwise(F.col("whole"))).alias("two"),
-            F.collect_list(F.struct("kind", "key")).alias("keys"),
-        )
-        .withColumns({"one": F.coalesce("one", F.lit(0)), "two": F.coalesce("two", F.lit(0))})
-    )
-    # A segment's second unit of weight can only be had with the first: where it is the cheaper, both cost their mean.
-    steps = F.when(F.col("two") >= F.col("one"), F.array("one", "two")).otherwise(F.array(*[(F.col("one") + F.col("two")) / 2] * 2))
-    unit = F.transform(steps.cast("array<double>"), lambda c, i: F.struct(c.alias("cost"), F.col("seg").alias("seg"), i.alias("unit")))
-    chosen = (
-        costs.withColumn("units", unit)
-        .groupBy("class", "n", "low", "budget")
-        .agg(
-            F.flatten(F.collect_list("units")).alias("units"),
-            F.collect_list(F.struct("seg", "keys")).alias("segs"),
-        )
-        .withColumn("taken", F.transform(F.slice(F.sort_array("units"), 1, F.col("budget")), lambda u: u["seg"]))
-        .select("class", "n", "taken", F.explode("segs").alias("s"))
-        .withColumn("weight", F.size(F.filter("taken", lambda x: x == F.col("s.seg"))))
-        .filter("weight > 0")
-        .select("class", "n", "weight", F.explode("s.keys").alias("k"))
-        .select("class", "n", "weight", "k.*")
-        .filter("kind = 0 or weight = 2")
-    )
-    # Equal segments; one token less on the one side, or on the other. Never both.
-    how = F.when(F.col("kind") == 1, F.array(F.lit(1))).when(F.col("weight") == 2, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0)))
-    left = chosen.select(F.col("class").alias("x"), F.col("n").alias("nx"), "key", F.explode(how).alias("how"))
-    how = F.when(F.col("kind") == 1, F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))
-    right = index.select(F.col("class").alias("y"), F.col("n").alias("ny"), "key", F.explode(how).alias("how"))
     found = (
-        left.join(right, ["key", "how"])
-        .filter((F.col("ny") <= F.col("nx")) & (F.col("ny") * den >= F.col("nx") * num) & (F.col("x") != F.col("y")))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        emit(True)
+        .select(F.col("h").alias("x"), "key")
+        .join(emit(False).select(F.col("h").alias("y"), "key"), "key")
+        .filter("x != y")
+        .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
         .distinct()
     )
-    of_a = able.select(F.col("class").alias("a"), F.col("items").alias("ia"))
-    of_b = able.select(F.col("class").alias("b"), F.col("items").alias("ib"))
-    both = F.size(F.array_intersect("ia", "ib"))
+    of_x = able.select(F.col("h").alias("x"), F.col("class").alias("cx"), F.col("items").alias("ix"))
+    of_y = able.select(F.col("h").alias("y"), F.col("class").alias("cy"), F.col("items").alias("iy"))
+    both = F.size(F.array_intersect("ix", "iy"))
     return (
-        found.join(of_a, "a")
-        .join(of_b, "b")
-        .filter(both * den >= num * (F.size("ia") + F.size("ib") - both))
-        .select("a", "b")
+        found.join(of_x, "x")
+        .join(of_y, "y")
+        .filter(both * den >= num * (F.size("ix") + F.size("iy") - both))
+        .select(F.least("cx", "cy").alias("a"), F.greatest("cx", "cy").alias("b"))
     )
 
 
@@ -198,9 +235,8 @@ def similar(df: DataFrame, record: str, items: str, threshold: Fraction, least:
     and members are put in at the end.
     """
     sets, members = classes(df, record, items)
-    sets = sets.filter(F.col("n") >= max(1, least))
     near = similar_classes(sets, threshold, least)
-    kept = sets.select("class")
+    kept = sets.filter(F.col("n") >= max(1, least)).select("class")
     links = near.unionByName(kept.select(F.col("class").alias("a"), F.col("class").alias("b")))
     of_a = members.select(F.col(record).alias("ra"), F.col("class").alias("a"))
     of_b = members.select(F.col(record).alias("rb"), F.col("class").alias("b"))
