@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolith.functions.time import instant
-from repolith.llm import cooccur, setjoin, sitetree
+from repolith.llm import cooccur, link, setjoin, sitetree
 from repolith.session import pin
 from repolith.storage import table
 
@@ -47,6 +47,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_clean(spark, d).select("record_id", F.explode("structure").alias("structure")).distinct()
 
 
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    return link.link(table(pin(spark), d, "authors"), "author_id", "authorName", "authorEmail")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return link.pairs(p4_entities(spark, d), "author_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     topics = current_topics(table(pin(spark), d, "repos"))
     names = declared(table(spark, d, "dependencies")).filter("repo_id is not null and name is not null")
@@ -67,7 +75,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return made.select(F.col("a").alias("name_a"), F.col("b").alias("name_b"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p3_hosts": p3_hosts, "p5_found": p5_found, "p7_found": p7_found, "p7_pairs": p7_pairs}
+QUERIES = {"p4_found": p4_found, "p4_entities": p4_entities, "p3_found": p3_found, "p3_clean": p3_clean, "p3_hosts": p3_hosts, "p5_found": p5_found, "p7_found": p7_found, "p7_pairs": p7_pairs}
 
 PAIRS_SQL = """
 WITH d AS (SELECT DISTINCT repo_id, lower(trim(name, ' ')) AS name FROM dependencies WHERE repo_id IS NOT NULL AND name IS NOT NULL),
