@@ -177,7 +177,7 @@ def similar_classes(sets: DataFrame, threshold: Fraction, least: int = 1) -> Dat
     often = sorted((r["t"], r["c"]) for r in hot.collect())
     most = counted["sets"]
     hashed = able.select("h", "n", F.transform("items", lambda x: F.xxhash64(x)).alias("t"))
-    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("key", T.LongType())])
+    schema = T.StructType([T.StructField(c, T.IntegerType() if c == "n" else T.LongType()) for c in ("h", "n", "bits", "key")])
 
     def emit(probe: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,22 +196,28 @@ def similar_classes(sets: DataFrame, threshold: Fraction, least: int = 1) -> Dat
                             counts = known_counts[np.where(names[at] == tokens, at, len(names))]
                         else:
                             counts = np.full(tokens.shape, rare)
+                        unsigned = tokens.view(np.uint64)
+                        bits = np.bitwise_or.reduce(np.uint64(1) << (_mix(unsigned) >> np.uint64(58)), axis=1).view(np.int64)
                         for low, high in layout.ranges_from(layout.shortest(length), length) if probe else [layout.range_of(length)]:
                             if low not in segments:
                                 segments[low] = layout.apart(low, high) + 1
                             if probe:
-                                row, key = probe_keys(tokens.view(np.uint64), counts, low, segments[low], layout.between(length, low, high) + 1, most)
+                                row, key = probe_keys(unsigned, counts, low, segments[low], layout.between(length, low, high) + 1, most)
                             else:
-                                row, key = index_keys(tokens.view(np.uint64), low, segments[low])
-                            yield pa.RecordBatch.from_arrays([pa.array(h[part[row]]), pa.array(key.view(np.int64))], names=["h", "key"])
+                                row, key = index_keys(unsigned, low, segments[low])
+                            columns = [h[part[row]], np.full(len(row), length, np.int32), bits[row], key.view(np.int64)]
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=schema.names)
 
         return hashed.mapInArrow(run, schema)
 
+    # Each differing token changes at most one of 64 bits, so this drops no similar pair.
+    length = F.col("nx") + F.col("ny")
+    common = F.floor((num * length + num + den - 1) / (num + den))
     found = (
         emit(True)
-        .select(F.col("h").alias("x"), "key")
-        .join(emit(False).select(F.col("h").alias("y"), "key"), "key")
-        .filter("x != y")
+        .select(F.col("h").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx"), "key")
+        .join(emit(False).select(F.col("h").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by"), "key"), "key")
+        .filter((F.col("x") != F.col("y")) & (F.bit_count(F.col("bx").bitwiseXOR(F.col("by"))) <= length - 2 * common))
         .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
         .distinct()
     )
