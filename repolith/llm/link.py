@@ -65,6 +65,8 @@ def link(df: DataFrame, key: str, name: str, email: str) -> DataFrame:
     rows = (
         parsed(df.filter(F.col(key).isNotNull()).select(key, name, email).distinct(), key, name, email)
         .withColumn("key", F.when(F.col("first").isNotNull(), F.array_join(F.sort_array(F.array("first", "last")), " ")))
+        # a role's mailbox names an organisation, and nobody else
+        .withColumn("handle", F.when(F.col("organisation") | ~F.startswith("handle", F.lit("@")), F.col("handle")))
         .withColumn("row", F.xxhash64("id", "first", "last", "single", "initials", "handle"))
     )
     rows = materialize(rows, "identities")
@@ -136,7 +138,7 @@ def link(df: DataFrame, key: str, name: str, email: str) -> DataFrame:
     foreign = F.col("handle").isNotNull() & F.col("shared").isNull()
     close = (
         loose.join(variants, "key")
-        .filter("open or slip")
+        .filter("open or (slip and handle is not null)")
         .join(target, "other")
         .join(shared.withColumn("shared", F.lit(True)), "handle", "left")
         .filter(~foreign | derived(_letters(F.col("handle")), a, b) | (F.col("handle") == F.concat(F.lit("@"), a)) | (F.col("handle") == F.concat(F.lit("@"), b)))

@@ -144,7 +144,7 @@ def parsed(df: DataFrame, key: str, name: str, email: str) -> DataFrame:
 
 def edits_allowed(n: int) -> int:
     """Edits within which names of n characters (the shorter one) count as variants."""
-    return 2 if n >= 6 else 1 if n >= 4 else 0
+    return 2 if n >= 5 else 1 if n >= 4 else 0
 
 
 def cut(n: int, k: int) -> list[tuple[int, int]]:
@@ -200,7 +200,7 @@ def name_pairs(df: DataFrame, block: str, name: str) -> DataFrame:
 
     longer, shorter = emit(probe_segments).withColumnRenamed("name", "x"), emit(index_segments).withColumnRenamed("name", "y")
     least = F.length("y")
-    allowed = F.when(least >= 6, 2).when(least >= 4, 1).otherwise(0)
+    allowed = F.when(least >= 5, 2).when(least >= 4, 1).otherwise(0)
     return (
         longer.join(shorter, ["block", "length", "segment", "text"])
         .filter("x != y")
