@@ -62,13 +62,6 @@ def merge_sparse(months: DataFrame, repo: str, least: int = words.MIN_BUCKET_COM
     return fold_sorted(ok, [repo], ["month"], fold, schema)
 
 
-def features(buckets: DataFrame, repo: str) -> DataFrame:
-    """(repo, month, feature, weight): each distinct directory, dependency and term of a bucket."""
-    kinds = [("dir", "new_dirs"), ("dep", "deps_added"), ("term", "top_terms")]
-    parts = F.concat(*(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x, k=k: F.struct(F.concat(F.lit(f"{k}:"), x).alias("feature"), F.lit(words.FEATURE_WEIGHTS[k]).alias("weight"))) for k, c in kinds))
-    return buckets.select(repo, "month", F.explode(F.array_distinct(parts)).alias("f")).select(repo, "month", "f.*")
-
-
 def similarity(buckets: DataFrame, repo: str) -> DataFrame:
     """(repo, month, gap, cosine): each bucket against the one before.
 
