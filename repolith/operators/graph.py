@@ -106,7 +106,7 @@ def mermaid(modules: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     nodes = ids.select(F.struct(F.lit(1).alias("k"), F.col("n").cast("long").alias("a"), F.lit("").alias("b")).alias("o"), box.alias("line"))
     ends = edges.join(ids.select(F.col(name).alias("source"), F.col("n").alias("s")), "source").join(ids.select(F.col(name).alias("target"), F.col("n").alias("t")), "target")
     arrow = F.concat(F.lit("  m"), F.col("s").cast("string"), F.lit(" -->|"), F.col("weight").cast("string"), F.lit("| m"), F.col("t").cast("string"))
-    arrows = ends.select(F.struct(F.lit(2).alias("k"), -F.col("weight").alias("a"), F.concat_ws("\t", "source", "target").alias("b")).alias("o"), arrow.alias("line"))
+    arrows = ends.select(F.struct(F.lit(2).alias("k"), (-F.col("weight")).alias("a"), F.concat_ws("\t", "source", "target").alias("b")).alias("o"), arrow.alias("line"))
     head = modules.sparkSession.range(1).select(F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("a"), F.lit("").alias("b")).alias("o"), F.lit("flowchart LR").alias("line"))
     return head.unionByName(nodes).unionByName(arrows).withColumn("ord", F.row_number().over(Window.orderBy("o")).cast("int")).select("ord", "line")
 

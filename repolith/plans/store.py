@@ -13,7 +13,7 @@ from repolith.plans.history import COMMITS, commits_of
 from repolith.session import pin
 from repolith.storage import table
 
-TODAY = date(2026, 6, 15)
+TODAY = date(2026, 8, 31)
 QUESTIONS = ["2025年 exporter 有哪些改动", "2026-03 的 scheduler", "最近30天 timeline", "帮我看看 snapshot tracker 的情况", "上半年 cache", "去年 12月", "C# 13月", ""]
 
 
@@ -210,7 +210,7 @@ FROM (SELECT id, unnest({TOKENS.format('title')}) AS token FROM (SELECT DISTINCT
     "recent_fallback": CONTEXT
     + """, x AS (SELECT * FROM cc ORDER BY authored_at DESC NULLS LAST, id LIMIT 8),
 b AS (SELECT 0 AS k, id AS o, 'commit:' || full_name || '@' || substr(authored_at, 1, 10) AS source, 'commit' AS kind, substr(message, 1, 200) AS text
-  FROM x WHERE authored_at IS NULL OR substr(authored_at, 1, 10) BETWEEN '2026-05-16' AND '2026-06-15')"""
+  FROM x WHERE authored_at IS NULL OR substr(authored_at, 1, 10) BETWEEN '2026-08-01' AND '2026-08-31')"""
     + _END,
     "range_filter": """SELECT DISTINCT id, opened_at, state FROM issues
 WHERE opened_at IS NULL OR opened_at = '' OR substr(opened_at, 1, 10) BETWEEN '2026-01-01' AND '2026-06-30'""",
