@@ -2,8 +2,9 @@
 
 A recursive hierarchy of separators: sections, paragraphs, list items, lines,
 sentences, words, and characters only inside a word that is too long itself.
-The units are packed greedily up to the limit; each piece starts with the end
-of the piece before.
+The units are packed greedily up to the limit, ending at the strongest separator
+in the second half of what fits; each piece starts with the end of the piece
+before.
 """
 
 from __future__ import annotations
@@ -113,6 +114,9 @@ def split(text: str, limit: int, overlap: int, code: Encoder) -> list[tuple[int,
     k = 0
     while k < len(ends):
         last = max(k, bisect_right(ends, bisect_right(total, total[start] + limit) - 1, k) - 1)
+        if last + 1 < len(ends):  # the strongest separator in the second half, and the last of equal ones
+            half = bisect_left(ends, bisect_left(total, total[start] + limit // 2), k)
+            last = min(range(min(half, last), last + 1), key=lambda e: (level[ends[e]], -e))
         while (n := size(start, ends[last])) > limit:
             if last > k:
                 last -= 1

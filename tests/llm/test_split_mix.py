@@ -32,7 +32,7 @@ def test_random_texts():
 
 
 def test_boundaries():
-    text = "# One\n\n" + "First sentence here. " * 10 + "\n\n# Two\n\n" + "- item of a list\n" * 20
+    text = "# One\n\n" + "First sentence here. " * 20 + "\n\n# Two\n\n" + "- item of a list\n" * 20
     made = split.split(text, 110, 0, CODE)
     assert text[made[1][0] :].startswith("# Two") and made[1][3] == "section"
     assert split.split(text, 10_000, 5, CODE) == [(0, len(text), CODE.count(text), None)]
