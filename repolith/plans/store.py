@@ -123,7 +123,7 @@ def context_blocks(spark, d):
 
 
 def recent_fallback(spark, d):
-    return _context(spark, d, "最近30天")
+    return _context(spark, d, "2026年")
 
 
 def range_filter(spark, d):
@@ -210,7 +210,7 @@ FROM (SELECT id, unnest({TOKENS.format('title')}) AS token FROM (SELECT DISTINCT
     "recent_fallback": CONTEXT
     + """, x AS (SELECT * FROM cc ORDER BY authored_at DESC NULLS LAST, id LIMIT 8),
 b AS (SELECT 0 AS k, id AS o, 'commit:' || full_name || '@' || substr(authored_at, 1, 10) AS source, 'commit' AS kind, substr(message, 1, 200) AS text
-  FROM x WHERE authored_at IS NULL OR substr(authored_at, 1, 10) BETWEEN '2026-08-01' AND '2026-08-31')"""
+  FROM x WHERE authored_at IS NULL OR substr(authored_at, 1, 10) BETWEEN '2026-01-01' AND '2026-12-31')"""
     + _END,
     "range_filter": """SELECT DISTINCT id, opened_at, state FROM issues
 WHERE opened_at IS NULL OR opened_at = '' OR substr(opened_at, 1, 10) BETWEEN '2026-01-01' AND '2026-06-30'""",
