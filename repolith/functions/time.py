@@ -12,8 +12,8 @@ def instant(c: Column | str) -> Column:
     Text without an offset is UTC; null, blank or unreadable text gives null.
     """
     text = F.trim(F.col(c) if isinstance(c, str) else c)
-    zoned = F.when(text.rlike(r"[0-9]{2}:[0-9]{2}.*([Zz]|[+-][0-9]{2}:?[0-9]{2})$"), text)
-    return F.coalesce(zoned, F.concat(text, F.when(text.contains(":"), F.lit("Z")).otherwise(F.lit("T00:00:00Z")))).try_cast("timestamp")
+    whole = F.when(text.rlike(r":[0-9]{2}(?:[.][0-9]+)?(?:[Zz]|[+-][0-9]{2}:?[0-9]{2})$"), text).when(text.contains(":"), F.concat(text, F.lit("Z"))).otherwise(F.concat(text, F.lit("T00:00:00Z")))
+    return F.when(text.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?:[Tt ]|$)"), whole).try_cast("timestamp")  # a time alone would be today's
 
 
 def iso_seconds(c: Column) -> Column:

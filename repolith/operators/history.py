@@ -113,7 +113,7 @@ def ledger(
         df.select(
             F.col(key).alias("key"),
             valid.alias("valid"),
-            F.coalesce(recorded, F.lit("0001-01-01").cast("timestamp")).alias("recorded"),
+            F.coalesce(recorded, F.lit("1000-01-01T00:00:00Z").cast("timestamp")).alias("recorded"),
             F.struct(*(c.alias(n) for n, c in attributes.items())).alias("state"),
         )
         .filter("key is not null and valid is not null")

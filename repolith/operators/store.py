@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Columns that an update replaces, by entity; the others keep their first value.
 UPDATED = {
@@ -71,7 +72,7 @@ def entity_parts(ident: Column) -> dict[str, Column]:
     return {n: F.when(ident.rlike(pattern), F.regexp_extract(ident, pattern, i)) for i, n in enumerate(("connector", "kind", "native_id"), 1)}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Composed form (no built-in function has it); only texts beyond ASCII are touched."""
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
