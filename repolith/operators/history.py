@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from repolith.operators.fold import fold_sorted
 from repolith.operators.ordered import neighbour
+from repolith.storage import materialize
 
 #: Most snapshots of one entity that a single task sweeps; beyond it, an entity's
 #: valid time is cut into ranges.
@@ -162,7 +163,7 @@ def versions(rows: DataFrame, key: str, attributes: list[str]) -> DataFrame:
     ``rows`` are ledger rows believed at one time.  Gives (key, <attributes>,
     valid_from, valid_to).  Null equals null.
     """
-    kept = rows.select(key, "range", "valid_from", F.struct(*attributes).alias("state"))
+    kept = materialize(rows.select(key, "range", "valid_from", F.struct(*attributes).alias("state")), "periods")  # read twice
     near = neighbour(kept, key, "valid_from", F.col("state"), "before")
     starts = near.filter(~F.col("before_exists") | ~F.col("before").eqNullSafe(F.col("state"))).select(key, "range", "valid_from", "state")
     ends = neighbour(starts, key, "valid_from", F.col("valid_from"), "valid_to", ahead=True)
