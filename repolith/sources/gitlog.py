@@ -82,3 +82,33 @@ def head(root: str) -> dict:
     branches, tags = git(root, "branch", "--list"), git(root, "tag", "--list")
     count = lambda x: None if x is None else len([y for y in x.splitlines() if y.strip()])
     return {"head_branch": branch and branch.strip(), "branch_count": count(branches), "tag_count": count(tags)}
+
+
+MANIFESTS = ["go.mod", "package.json", "pyproject.toml", "requirements.txt"]
+
+
+def month_end_manifests(root: str) -> Iterator[tuple[str, str, list[str]]]:
+    """(repo, month, names): names declared in the root manifests at the last commit of each month."""
+    from repolith.operators.declared import read_manifest
+
+    last: dict[str, str] = {}
+    for line in (git(root, "log", "--reverse", "--date=iso-strict", "--pretty=format:%H%x1f%ad") or "").splitlines():
+        sha, _, at = line.partition("\x1f")
+        if at:
+            last[at[:7]] = sha
+    for month, sha in last.items():
+        names = {n.lower() for m in MANIFESTS for n, _, _ in read_manifest(m, git(root, "show", f"{sha}:{m}") or "")}
+        yield os.path.basename(os.path.normpath(root)), month, sorted(names)
+
+
+def read_month_manifests(spark: SparkSession, *roots: str):
+    """``month_end_manifests`` of many repositories, one task for each."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            rows = [x for r in b.column(0).to_pylist() for x in month_end_manifests(r)]
+            cols = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.string()))], names=["repo", "month", "names"])
+
+    return spark.createDataFrame([(r,) for r in roots], "root string").repartition(len(roots)).mapInArrow(run, "repo string, month string, names array<string>")
