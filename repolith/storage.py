@@ -7,12 +7,17 @@ unset, as in tests, a folder of our own is made.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders written by this process, with the session that can remove them.
+_written: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, or a temporary one where none is named."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
@@ -31,9 +36,34 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Remove what ``materialize`` wrote; frames that read it can no longer be used.  Runs when the process ends."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001 the session has ended: nothing can be removed any more
+            return
+
+
+atexit.register(release)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows in at least as many partitions as there are cores, for costly work on few and small files.
+
+    A scan of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table, read lazily so that filters and pruning reach the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
