@@ -5,7 +5,8 @@
     python -m repolith.cli evolution PATH [--days N] [--top N] [--format summary|json]
     python -m repolith.cli signals PATH [--months N]
     python -m repolith.cli timeline --signals FILE [--theta X] [--labels FILE] [--format text|gantt|json]
-    python -m repolith.cli serve
+    python -m repolith.cli ask QUESTION --store FOLDER [--limit N] [--format text|json]
+    python -m repolith.cli serve [--store FOLDER]
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from datetime import date
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from repolith.operators import graph, timeline
 from repolith.plans import evolution as E
 from repolith.plans import profile as P
+from repolith.plans.memory import Memory
 from repolith.rules import words
 from repolith.session import get_session
 from repolith.sources.gitlog import head, read_gitlog, read_month_manifests
@@ -104,8 +107,20 @@ def run_timeline(spark: SparkSession, path: str, theta: float, labels: dict[str,
     return "\n".join(f"{s['start_month']} .. {s['end_month']}  {name(s)}: {s['commits']} commits, {s['max_contributors']} people; {', '.join(s['terms'])}" for s in made)
 
 
+def memory_tools(spark: SparkSession, folder: str) -> dict:
+    """What a client may ask of a store."""
+    m = Memory(spark, folder)
+    return {
+        "memory_search": lambda query, limit=words.EVIDENCE, **_: documents(m.search(query, date.today(), limit).orderBy("ord")),
+        "memory_get": lambda entity_id, **_: documents(m.get(entity_id)),
+        "memory_timeline": lambda entity_id, theta=words.THETA, **_: documents(m.timeline(entity_id, theta).orderBy("stage")),
+        "memory_related": lambda entity_id, **_: documents(m.related(entity_id)),
+        "memory_observe": lambda **_: documents(m.observe()),
+    }
+
+
 def tools(spark: SparkSession) -> dict:
-    """What a client may call, by name."""
+    """What a client may call of working copies, by name."""
     return {
         "repo_scan": lambda path, **_: scan(spark, path),
         "repo_graph": lambda path, format="summary", **_: module_graph(spark, path, format),
@@ -161,7 +176,12 @@ def main(argv: list[str] | None = None) -> int:
     t.add_argument("--theta", type=float, default=words.THETA)
     t.add_argument("--labels")
     t.add_argument("--format", default="text", choices=["text", "gantt", "json"])
-    sub.add_parser("serve")
+    sub.add_parser("serve").add_argument("--store")
+    q = sub.add_parser("ask")
+    q.add_argument("question")
+    q.add_argument("--store", required=True)
+    q.add_argument("--limit", type=int, default=words.EVIDENCE)
+    q.add_argument("--format", default="text", choices=["text", "json"])
     a = p.parse_args(argv)
     if getattr(a, "path", None) and not Path(a.path).is_dir():
         print(f"not a folder: {a.path}", file=sys.stderr)
@@ -188,8 +208,11 @@ def main(argv: list[str] | None = None) -> int:
         except ValueError as x:
             print(x, file=sys.stderr)
             return 2
+    elif a.command == "ask":
+        found = memory_tools(spark, a.store)["memory_search"](a.question, a.limit)
+        text = json.dumps(found, ensure_ascii=False) if a.format == "json" else "\n".join(f"[{b['source']}] {b['text'][:120]}" for b in found)
     else:
-        known = tools(spark)
+        known = tools(spark) | (memory_tools(spark, a.store) if a.store else {})
         for line in sys.stdin:
             if line.strip() and (reply := answer(line, known)) is not None:
                 print(json.dumps(reply, ensure_ascii=False), flush=True)
