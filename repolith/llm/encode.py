@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repolith.llm.bpe import TOKENIZERS, VOCABULARY, encoder
+from repolith.storage import spread
 
 #: Texts handed to a worker's encoder at once are bounded by characters, not rows.
 CHARS = 4_000_000
@@ -45,7 +46,7 @@ def encode(df: DataFrame, key: str, text: str, path: str | None = None) -> DataF
     whatever their names, are not read.  No shuffle.
     """
     path = path or vocabulary()
-    read = df.select(F.col(key).alias("k"), text_of(F.col(text)).alias("t"))
+    read = spread(df.select(F.col(key).alias("k"), text_of(F.col(text)).alias("t")))
     schema = T.StructType([T.StructField("k", read.schema["k"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +66,7 @@ def encode(df: DataFrame, key: str, text: str, path: str | None = None) -> DataF
 def sizes(df: DataFrame, keep: dict[str, Column], text: str, path: str | None = None, name: str = "n_tokens") -> DataFrame:
     """The columns ``keep`` and the number of tokens of each text (null and empty: 0)."""
     path = path or vocabulary()
-    read = df.select(text_of(F.col(text)).alias("__text"), *(c.alias(n) for n, c in keep.items()))
+    read = spread(df.select(text_of(F.col(text)).alias("__text"), *(c.alias(n) for n, c in keep.items())))
     schema = T.StructType([*read.schema.fields[1:], T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,7 +86,9 @@ LEAF = T.StructType(
 
 def read_pages(df: DataFrame, host: Column, record: Column, text: Column) -> DataFrame:
     """One row for each leaf of each page; equal (record, text) rows are one page, and empty pages have one leaf."""
-    pages = df.select(host.cast("string").alias("h"), record.cast("string").alias("r"), text_of(text).alias("t")).filter("r is not null").distinct()
+    pages = df.select(host.cast("string").alias("h"), record.cast("string").alias("r"), text_of(text).alias("t")).filter("r is not null")
+    # a fixed number of partitions: parsing costs much more than its bytes, by which adaptive execution would join them
+    pages = pages.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h", "r", "t").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = LEAF.names, [f.type for f in to_arrow_schema(LEAF)]

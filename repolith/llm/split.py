@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from repolith.llm.bpe import Encoder, encoder
 from repolith.llm.encode import chunks, text_of, vocabulary
+from repolith.storage import spread
 
 #: Names of the separators, strongest first.
 LEVELS = ("section", "paragraph", "item", "line", "sentence", "word", "character")
@@ -171,7 +172,7 @@ def pieces(df: DataFrame, key: str, text: str, limit: int, overlap: int, path: s
     Other columns are not read.  Whole texts are processed; no shuffle.
     """
     path = path or vocabulary()
-    read = df.select(F.col(key).alias("k"), text_of(F.col(text)).alias("t"))
+    read = spread(df.select(F.col(key).alias("k"), text_of(F.col(text)).alias("t")))
     kind = T.StructType(
         [T.StructField("k", read.schema["k"].dataType)]
         + [T.StructField(n, T.IntegerType()) for n in ("piece", "start", "end", "n_tokens")]
