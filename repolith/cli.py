@@ -1,6 +1,6 @@
 """Command line and line-based RPC over the query functions.
 
-    python -m repolith.cli scan PATH [-o FILE] [--pretty]
+    python -m repolith.cli scan PATH [-o FILE] [--pretty] [--mode full|lite]
     python -m repolith.cli graph PATH --format summary|mermaid|json
     python -m repolith.cli evolution PATH [--days N] [--top N] [--format summary|json]
     python -m repolith.cli signals PATH [--months N]
@@ -32,9 +32,9 @@ from repolith.sources.tree import read_tree
 PACK = "schemaVersion string, repo string, truncated boolean, months array<struct<month:string,commits:long,contributors:long,new_dirs:array<string>,deps_added:array<string>,top_terms:array<string>>>"
 
 
-def scan(spark: SparkSession, path: str) -> dict:
+def scan(spark: SparkSession, path: str, mode: str = "full") -> dict:
     """The profile of one working tree as a document."""
-    row = P.to_json(P.profile(read_tree(spark, path))).first()
+    row = P.to_json((P.lite if mode == "lite" else P.profile)(read_tree(spark, path))).first()
     doc = json.loads(row["json"]) if row else {"totalFiles": 0, "warnings": [{"code": "EMPTY_REPO", "detail": "no files"}]}
     git = head(path)
     doc["git"] = None if git["head_branch"] is None else {P.camel(k): v for k, v in git.items()}
@@ -166,6 +166,7 @@ def main(argv: list[str] | None = None) -> int:
     c = sub.choices
     c["scan"].add_argument("-o", "--output")
     c["scan"].add_argument("--pretty", action="store_true")
+    c["scan"].add_argument("--mode", default="full", choices=["full", "lite"])
     c["graph"].add_argument("--format", default="summary", choices=["summary", "mermaid", "json"])
     c["evolution"].add_argument("--days", type=int)
     c["evolution"].add_argument("--top", type=int, default=words.TOP_FILES)
@@ -188,7 +189,7 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     spark = get_session("repolith")
     if a.command == "scan":
-        text = json.dumps(scan(spark, a.path), ensure_ascii=False, indent=2 if a.pretty else None)
+        text = json.dumps(scan(spark, a.path, a.mode), ensure_ascii=False, indent=2 if a.pretty else None)
         if a.output:
             Path(a.output).write_text(text + "\n", encoding="utf-8")
             return 0

@@ -98,6 +98,47 @@ def profile(tree: DataFrame, max_bytes: int = tables.MAX_FILE_BYTES) -> DataFram
     return row.withColumns({"schema_version": F.lit("1.0"), "generated_at": F.current_timestamp()})
 
 
+#: Limits and confidence of the reduced profile.
+LITE_FILE_BYTES, LITE_TEXT_BUDGET, LITE_CONFIDENCE = 1 << 20, 4_000_000, 0.6
+
+
+def lite(tree: DataFrame) -> DataFrame:
+    """The reduced profile: languages, folders of code, largest files, entry points and commands.
+
+    Smaller limits; top folders count code files, with those in the root under
+    their own names; an entry point is the first that fits, tests included;
+    commands have a fixed confidence; the total of lines is at least 1.
+    """
+    tree = materialize(tree, "tree")
+    code = materialize(files.prepared(tree, LITE_FILE_BYTES), "files")
+    kept = code.filter("lang is not null")
+    texts = files.within_budget(kept.filter(F.col("text").isNotNull() & ~F.col("too_big")), ["repo"], ["walk"], "size", LITE_TEXT_BUDGET)
+    has = lambda t: F.contains("text", F.lit(t))
+    python = F.col("lang") == "python"
+    first = (
+        F.when(python & has("__main__"), F.struct(F.lit("cli").alias("type"), F.lit(0.8).alias("confidence"), F.lit("content: __main__").alias("evidence")))
+        .when(python & has("FastAPI("), F.struct(F.lit("server").alias("type"), F.lit(0.85).alias("confidence"), F.lit("content: FastAPI(").alias("evidence")))
+        .when((F.col("lang") == "go") & has("package main") & has("func main("), F.struct(F.lit("cli").alias("type"), F.lit(0.9).alias("confidence"), F.lit("content: package main & func main(").alias("evidence")))
+        .when(F.col("lang").isin("typescript", "javascript", "vue") & has("createApp("), F.struct(F.lit("gui").alias("type"), F.lit(0.85).alias("confidence"), F.lit("content: createApp(").alias("evidence")))
+    )
+    entries = texts.withColumn("e", first).filter("e is not null").select("repo", "path", "e.type", "e.confidence", "e.evidence")
+    entries = entries.unionByName(declared.entry_points(kept, tree).filter(F.startswith("evidence", F.lit("package.json"))).select("repo", "path", "type", "confidence", "evidence"))
+    dirs = kept.groupBy("repo", F.substring_index("path", "/", 1).alias("dir")).agg(F.count("*").alias("files"))
+    commands = declared.build_run(tree).withColumns({"confidence": F.lit(LITE_CONFIDENCE), "build_system": F.sort_array("build_system")})
+    sums = code.groupBy("repo").agg(F.greatest(F.coalesce(F.sum("loc"), F.lit(0)), F.lit(1)).alias("total_loc"), F.count_if("too_big").alias("too_big"))
+    row = warnings(config_files(tree).join(sums, "repo", "left"))
+    row = row.withColumn("warnings", F.concat(F.array(F.struct(F.lit("SCAN_MODE").alias("code"), F.lit("lite").alias("detail"))), "warnings"))
+    for part in (
+        gathered(files.language_stats(code, ["repo"], "lang", F.col("loc")).filter("loc > 0"), "languages", [-F.col("loc"), F.col("name")], ["name", "pct", "files", "loc"]),
+        gathered(dirs, "top_level_dirs", [-F.col("files"), F.col("dir")], ["dir", "files"]),
+        gathered(files.largest(code, ["repo"]), "largest_files", [F.col("place")], ["path", "loc"]),
+        gathered(entries, "entry_points", [-F.col("confidence"), F.col("path")], ["path", "type", "confidence", "evidence"]),
+        commands.select("repo", F.struct("build_system", "install_cmd", "dev_cmd", "test_cmd", "confidence", "evidence").alias("build_run")),
+    ):
+        row = row.join(part, "repo", "left")
+    return row.withColumns({"schema_version": F.lit("1.0"), "generated_at": F.current_timestamp()})
+
+
 def camel(name: str) -> str:
     head, *rest = name.split("_")
     return head + "".join(x.title() for x in rest)

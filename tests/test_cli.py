@@ -57,6 +57,13 @@ def test_scan_and_graph(spark, linked):
     assert lines[0] == "flowchart LR" and len(lines) == 12
 
 
+def test_lite(spark, linked):
+    lite, full = cli.scan(spark, linked, "lite"), cli.scan(spark, linked)
+    assert all(lite[k] == full[k] for k in ("languages", "totalFiles", "largestFiles", "configFiles"))
+    assert [(e["path"], e["type"]) for e in lite["entryPoints"]] == [("cmd/server/main.go", "cli"), ("bin/cli.js", "cli"), ("web/main.ts", "gui"), ("app.py", "cli")]
+    assert lite["warnings"][0] == {"code": "SCAN_MODE", "detail": "lite"} and lite["buildRun"]["confidence"] == 0.6
+
+
 def test_replies():
     known = {"echo": lambda **a: a, "bad": lambda: 1 / 0}
     ask = lambda **x: cli.answer(json.dumps(x), known)
