@@ -70,12 +70,17 @@ def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
     return cooccur.cooccurrence(declared(table(pin(spark), d, "dependencies")), "repo_id", "name", min_count=2)
 
 
+def p7_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of names that meet in any repository; ``p7_pairs`` has those that meet in two or more."""
+    return cooccur.cooccurrence(declared(table(pin(spark), d, "dependencies")), "repo_id", "name")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     made = cooccur.cooccurrence(declared(table(pin(spark), d, "dependencies")), "repo_id", "name", min_count=5, min_lift=4)
     return made.select(F.col("a").alias("name_a"), F.col("b").alias("name_b"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_entities": p4_entities, "p3_found": p3_found, "p3_clean": p3_clean, "p3_hosts": p3_hosts, "p5_found": p5_found, "p7_found": p7_found, "p7_pairs": p7_pairs}
+QUERIES = {"p4_found": p4_found, "p4_entities": p4_entities, "p3_found": p3_found, "p3_clean": p3_clean, "p3_hosts": p3_hosts, "p5_found": p5_found, "p7_found": p7_found, "p7_pairs": p7_pairs, "p7_all": p7_all}
 
 PAIRS_SQL = """
 WITH d AS (SELECT DISTINCT repo_id, lower(trim(name, ' ')) AS name FROM dependencies WHERE repo_id IS NOT NULL AND name IS NOT NULL),
@@ -107,4 +112,7 @@ WHERE n_ab >= 5 AND n_ab * n >= 4 * x.k * y.k""",
     "p7_pairs": PAIRS_SQL
     + """SELECT a, b, n_ab, x.k AS n_a, y.k AS n_b, n_ab * n / (x.k * y.k) AS lift, ln(n_ab * n / (x.k * y.k)) AS pmi
 FROM p JOIN s x ON x.name = a JOIN s y ON y.name = b, n WHERE n_ab >= 2""",
+    "p7_all": PAIRS_SQL
+    + """SELECT a, b, n_ab, x.k AS n_a, y.k AS n_b, n_ab * n / (x.k * y.k) AS lift, ln(n_ab * n / (x.k * y.k)) AS pmi
+FROM p JOIN s x ON x.name = a JOIN s y ON y.name = b, n""",
 }

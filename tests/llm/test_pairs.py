@@ -10,6 +10,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from repolith.llm import cooccur, setjoin, terms
 from repolith.llm.components import components
 
@@ -67,6 +68,13 @@ def test_cooccurrence(spark):
     assert cooccur.cooccurrence(df.limit(0), "n", "i").count() == 0
 
 
+def test_pairs_that_meet_once(spark, tmp_path):
+    rows = [("r1", " A", None, "dev"), ("r1", "b", "1", "dev"), ("r1", "once", "1", "dev"), ("r2", "a", "1", "dev"), ("r2", "B ", "1", "dev"), ("r3", "lone", "1", "dev")]
+    spark.createDataFrame(rows, "repo_id string, name string, version string, kind string").write.parquet(str(tmp_path / "dependencies.parquet"))
+    got = {(x["a"], x["b"]): (x["n_ab"], x["n_a"], x["n_b"], x["lift"]) for x in entry.queries()["p7_all"](spark, str(tmp_path)).collect()}
+    assert got == {("a", "b"): (2, 2, 2, 1.5), ("a", "once"): (1, 2, 1, 1.5), ("b", "once"): (1, 2, 1, 1.5)}
+
+
 def test_log_entropy(spark):
     rows = [("a", "1", "fix the parser"), ("a", "1", "fix the parser twice"), ("a", "2", "Parser again"), ("b", "1", "fix lexer 修复登录"), ("b", None, "lost"), (None, "9", "lost"), ("c", "1", None), ("c", "2", "")]
     df = spark.createDataFrame(rows, "r string, u string, t string")
