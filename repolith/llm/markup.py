@@ -58,8 +58,9 @@ MATH = re.compile(r"[\\^_={}+*/<>|]|^[A-Za-z]$|[A-Za-z]\(|[0-9][A-Za-z]")
 
 BRACED = r"((?:[^{}]|\{[^{}]*\})*)"
 LATEX_ENV = re.compile(rf"\\begin\{{({LATEX_LIST})\}}(?:\[[^\]\n]*\])?(.*?)\\end\{{\1\}}", re.S)
-HTML_LIST = re.compile(r"<(ul|ol|dl)\b[^<>]*>((?:(?!<(?:ul|ol|dl)\b).)*?)</\1\s*>", I)
+HTML_LIST = re.compile(r"<(ul|ol|dl)\b[^<>]*>|</(ul|ol|dl)\s*>", I)
 HTML_ITEM = re.compile(r"<(?:li|dt|dd)\b[^<>]*>(.*?)(?=</?(?:li|dt|dd)\b|\Z)", I)
+HTML_ITEM_END = re.compile(r"</(?:li|dt|dd)\s*>", I)
 HTML_HEAD = re.compile(r"<h([1-6])\b[^<>]*>(.*?)</h\1\s*>", I)
 LATEX_HEAD = re.compile(rf"\\({LATEX_HEADING})\*?\{{{BRACED}\}}")
 HTML_TABLE = re.compile(r"<table\b[^<>]*>(.*?)</table\s*>", I)
@@ -84,7 +85,7 @@ class Block:
 
     tag: str
     text: str = ""
-    items: list[tuple[int, str]] = field(default_factory=list)  # (depth, text)
+    items: list[tuple[int, str, str | None]] = field(default_factory=list)  # (depth, text, mark); None is the list's own mark
     kinds: set[str] = field(default_factory=set)
 
 
@@ -162,8 +163,11 @@ class _Reader:
 
         return SCAN.sub(one, text)
 
-    def inline(self, text: str, kinds: set[str]) -> str:
-        """Text without inline markup; adds the kinds found."""
+    def inline(self, text: str, kinds: set[str], within: bool = True) -> str:
+        """Text without inline markup; adds the kinds found.
+
+        Blocks taken out of the text before are put in as they read, or stay marks without ``within``.
+        """
 
         def code(m: re.Match) -> str:
             return self.keep("code", "texttt", False, m.group(1))
@@ -195,10 +199,13 @@ class _Reader:
         text = ENTITY.sub(entity, text)
 
         def back(m: re.Match) -> str:
+            if block := self.made.get(int(m.group(1))):
+                kinds.update(block.kinds)
+                return "\n" + "\n".join(t for _, t in leaves(block)) + "\n" if within else m.group(0)
             kind, name, _, content = self.kept[int(m.group(1))]
             kinds.add(kind)
             if kind == "code":
-                return f"`{content.strip()}`"
+                return f"`{self.raw(content).strip()}`"
             if kind == "formula":
                 return f"${content.strip()}$"
             return "" if name == "comment" else content
@@ -213,7 +220,14 @@ class _Reader:
 
     def listing(self, tag: str, items: list[tuple[int, str]]) -> Block:
         b = Block(tag, kinds={"list"})
-        b.items = [(depth, self.inline(t, b.kinds).replace("\n", " ")) for depth, t in items]
+        for depth, t in items:
+            own, *rest = MARK.split(self.inline(t, b.kinds, within=False).replace("\n", " "))
+            if own.strip() or not rest:
+                b.items.append((depth, own.strip(), None))
+            for i, after in zip(rest[::2], rest[1::2]):  # lists within the item, and its text after each
+                b.items += [(depth + 1 + d, x, mark) for d, x, mark in marked_items(self.made[int(i)])]
+                if after.strip():
+                    b.items.append((depth + 1, after.strip(), ""))
         return b
 
     def table(self, rows: list[str]) -> Block:
@@ -228,8 +242,34 @@ class _Reader:
             parts = re.split(r"\\item\b(?:\[[^\]\n]*\])?", m.group(2))
             return self.keep_block(self.listing("ol" if m.group(1) == "enumerate" else "ul", [(0, p) for p in parts if p.strip()]))
 
-        def html_list(m: re.Match) -> str:
-            return self.keep_block(self.listing(m.group(1).lower(), [(0, p) for p in HTML_ITEM.findall(m.group(2))]))
+        def html_items(content: str) -> list[str]:
+            """Items with what stands behind them; what stands before the first is an item if it has text."""
+            parts, at = [""], 0
+            for m in HTML_ITEM.finditer(content):
+                parts[-1] += HTML_ITEM_END.sub("", content[at : m.start()])
+                parts.append(m.group(1))
+                at = m.end()
+            parts[-1] += HTML_ITEM_END.sub("", content[at:])
+            if self.inline(parts[0], set(), within=False):
+                return parts
+            return [parts[0] + parts[1], *parts[2:]] if len(parts) > 1 else []
+
+        def html_lists(text: str) -> str:
+            """Text with its lists taken out, those within lists first; what is not closed stays."""
+            level = [("", "", [])]  # (name, tag, parts of the text) of the open lists
+            at = 0
+            for m in HTML_LIST.finditer(text):
+                level[-1][2].append(text[at : m.start()])
+                at = m.end()
+                if m.group(1):
+                    level.append((m.group(1).lower(), m.group(0), []))
+                elif m.group(2).lower() == level[-1][0]:
+                    name, _, parts = level.pop()
+                    level[-1][2].append(self.keep_block(self.listing(name, [(0, p) for p in html_items("".join(parts))])))
+                else:
+                    level[-1][2].append(m.group(0))
+            level[-1][2].append(text[at:])
+            return "".join(x for _, tag, parts in level for x in (tag, *parts))
 
         def html_table(m: re.Match) -> str:
             rows = re.split(r"(?i)</?tr\b[^<>]*>", m.group(1))
@@ -239,12 +279,7 @@ class _Reader:
             rows = [line.lstrip("|!").strip() for line in m.group(0).split("\n")[1:-1] if not line.startswith(("|-", "|+"))]
             return self.keep_block(self.table([re.sub(r"\|\||!!", " | ", r) for r in rows]))
 
-        text = LATEX_ENV.sub(latex_list, self.text)
-        for _ in range(6):  # lists within lists, from the inside
-            new = HTML_LIST.sub(html_list, text)
-            if new == text:
-                break
-            text = new
+        text = html_lists(LATEX_ENV.sub(latex_list, self.text))
         text = HTML_HEAD.sub(lambda m: self.keep_block(self.heading(int(m.group(1)), m.group(2))), text)
         text = LATEX_HEAD.sub(lambda m: self.keep_block(self.heading(1 + LATEX_HEADING.split("|").index(m.group(1)) % 6, m.group(2))), text)
         text = HTML_TABLE.sub(html_table, text)
@@ -347,7 +382,12 @@ class _Reader:
 
     def raw(self, text: str) -> str:
         """Text of code in which something had been taken for a region."""
-        return MARK.sub(lambda m: self.kept[int(m.group(1))][3], text)
+
+        def one(m: re.Match) -> str:
+            block = self.made.get(int(m.group(1)))
+            return "\n".join(t for _, t in leaves(block)) if block else self.raw(self.kept[int(m.group(1))][3])
+
+        return MARK.sub(one, text)
 
     def marked(self, i: int) -> Block:
         if i in self.made:
@@ -363,11 +403,21 @@ def parse(text: str | None) -> list[Block]:
     return _Reader(text).read()
 
 
+def marked_items(block: Block) -> list[tuple[int, str, str]]:
+    """(depth, text, mark) of a list's items; those of lists within it bring their marks."""
+    n, made = 0, []
+    for depth, t, mark in block.items:
+        if mark is None:
+            n += 1
+            mark = f"{n}. " if block.tag == "ol" else "- "
+        made.append((depth, t, mark))
+    return made
+
+
 def leaves(block: Block) -> list[tuple[str, str]]:
     """(tag, clean text) of a block's leaves: its items, or itself."""
     if block.tag in ("ul", "ol", "dl"):
-        mark = (lambda n: f"{n}. ") if block.tag == "ol" else (lambda n: "- ")
-        return [("li", "  " * depth + mark(n) + t) for n, (depth, t) in enumerate(block.items, 1)]
+        return [("li", "  " * depth + mark + t) for depth, t, mark in marked_items(block)]
     if block.tag[0] == "h" and block.tag[1:].isdigit():
         return [(block.tag, "#" * int(block.tag[1:]) + " " + block.text)]
     if block.tag == "code":

@@ -111,6 +111,29 @@ def test_kinds():
     assert markup.parse(None) == []
 
 
+WITHIN = [
+    ("<ul><li>a<ul><li>b</li></ul></li></ul>", ["- a", "  - b"], {"list"}),
+    ("<ul><li>a</li><ul><li>b</li></ul><li>c</li></ul>", ["- a", "  - b", "- c"], {"list"}),
+    ("<ol><li>a<OL><li>b</li><li>`c`</li></OL>d</li><li>e</li></ol>", ["1. a", "  1. b", "  2. `c`", "  d", "2. e"], {"list", "code"}),
+    ("<ul>" + "<li>x<ul>" * 9 + "<li>y</li>" + "</ul></li>" * 9 + "</ul>", ["  " * i + "- x" for i in range(9)] + ["  " * 9 + "- y"], {"list"}),
+    ("<ul>say<li>a</li></ul>", ["- say", "- a"], {"list"}),
+    ("<ul><!-- c --><li>a</li></ul>", ["- a"], {"list", "other"}),
+    ("<ul><li>a\\begin{itemize}\n\\item b\n\\end{itemize}</li></ul>", ["- a", "  - b"], {"list"}),
+    ("<table><tr><td>x</td><td><ul><li>a</li><li>b</li></ul></td></tr></table>", ["x | - a - b"], {"other", "list"}),
+    ("<table><tr><td><h2>t</h2></td><td>y</td></tr></table>", ["## t | y"], {"other", "heading"}),
+    ("{|\n| x\n| <ul><li>a</li></ul>\n|}", ["x\n- a"], {"other", "list"}),
+    ("<h2>t <ul><li>a</li></ul></h2>", ["## t - a"], {"heading", "list"}),
+    ("<ul><li>a", ["a"], {"list"}),
+]
+
+
+@pytest.mark.parametrize("text, want, kinds", WITHIN)
+def test_blocks_within_blocks(text, want, kinds):
+    blocks = markup.parse(text)
+    assert [t for b in blocks for _, t in markup.leaves(b)] == want
+    assert set().union(*(b.kinds for b in blocks)) == kinds
+
+
 def test_never_fails():
     r = random.Random(9)
     bits = ["```", "$", "$$", "\\(", "<b", "<li>", "</ul>", "{{", "}}", "[[", "\n", "\n\n", "# ", "- ", "|", "---", "a", " ", "&", "&lt;", "'''", "\x00", "\x001\x00", "\\begin{itemize}", "\\item", "=", "*"]
