@@ -5,7 +5,7 @@ into nodes, to which identities are tied, and components of the ties are the
 entities:
 
 - a mailbox node (handle, name): identities that use the handle, and whose names
-  are variants of the name most used with it;
+  are variants of the name most used with it, be it in one word or in both;
 - a name node: identities with this name, or a variant that nobody else bears,
   unless the name is known to belong to several people: unless it is used with
   several handles that cannot be derived from it.
@@ -55,6 +55,23 @@ def _variant_keys(keys: DataFrame) -> DataFrame:
     return one.unionByName(two).groupBy("key", "other").agg(F.min("distance").alias("distance"), F.bool_or("slip").alias("slip"))
 
 
+def _close(x: Column, y: Column) -> Column:
+    """Whether two words differ, but by no more than the edits allowed."""
+    least = F.least(F.length(x), F.length(y))
+    return F.levenshtein(x, y, 2).between(1, F.when(least >= 5, 2).when(least >= 4, 1).otherwise(0))
+
+
+def _mailbox_variants(used: DataFrame) -> DataFrame:
+    """(handle, key, other): names used with one handle of which both words are variants, in either order."""
+    words = used.select("handle", "key", "first", "last", F.explode(F.array("first", "last")).alias("word"))
+    side = lambda n, end: words.select(F.col("handle").alias("block"), F.col("word").alias(n), *(F.col(c).alias(c + end) for c in ("key", "first", "last")))
+    met = name_pairs(words, "handle", "word").join(side("a", "_x"), ["block", "a"]).join(side("b", "_y"), ["block", "b"])
+    straight = _close(F.col("first_x"), F.col("first_y")) & _close(F.col("last_x"), F.col("last_y"))
+    crossed = _close(F.col("first_x"), F.col("last_y")) & _close(F.col("last_x"), F.col("first_y"))
+    found = met.filter(straight | crossed).select(F.col("block").alias("handle"), F.col("key_x").alias("key"), F.col("key_y").alias("other"))
+    return found.unionByName(found.select("handle", F.col("other").alias("key"), F.col("key").alias("other"))).distinct()
+
+
 def link(df: DataFrame, key: str, name: str, email: str) -> DataFrame:
     """(id, entity): the entity of each identity, named by the least node of its component.
 
@@ -78,9 +95,13 @@ def link(df: DataFrame, key: str, name: str, email: str) -> DataFrame:
     # The main name of a handle: one that the handle is derived from, the one with most variants, and the most used.
     used = named.filter("handle is not null").groupBy("handle", "key").agg(F.count("*").alias("n")).join(keys.select("key", "first", "last", "times"), "key")
     used = materialize(used, "used")
+    twice = materialize(_mailbox_variants(used), "twice")
+    beside = used.select("handle", F.col("key").alias("other"), "n")
     support = (
-        used.select("handle", F.col("key").alias("other"), "n")
-        .join(variants.select("key", "other"), "other")
+        beside.join(variants.select("key", "other"), "other")
+        .select("handle", "key", "other", "n")
+        .unionByName(beside.join(twice, ["handle", "other"]).select("handle", "key", "other", "n"))
+        .dropDuplicates(["handle", "key", "other"])  # a pair may be both
         .groupBy("handle", "key")
         .agg(F.sum("n").alias("support"))
     )
@@ -89,8 +110,9 @@ def link(df: DataFrame, key: str, name: str, email: str) -> DataFrame:
     )
     main = used.join(support, ["handle", "key"], "left").groupBy("handle").agg(F.max(rank)["key"].alias("main"))
     words = keys.select(F.col("key").alias("main"), F.col("first").alias("ma"), F.col("last").alias("mb"))
-    near = variants.select("key", F.col("other").alias("main"), F.lit(True).alias("near"))
-    at = rows.filter("handle is not null").join(main, "handle").join(words, "main").join(near, ["key", "main"], "left")
+    near = used.select("handle", "key").join(variants.select("key", F.col("other").alias("main")), "key").join(main, ["handle", "main"], "left_semi")
+    near = near.unionByName(twice.withColumnRenamed("other", "main")).distinct().withColumn("near", F.lit(True))
+    at = rows.filter("handle is not null").join(main, "handle").join(words, "main").join(near, ["handle", "key", "main"], "left")
     a, b, single, initials = F.col("ma"), F.col("mb"), F.col("single"), F.col("initials")
     one_initial = F.length("initials") > 0
     weak = F.col("key").isNull() & any_of(

@@ -89,6 +89,20 @@ def test_linking(spark):
     assert link.link(df.limit(0), "node", "entity", "email").count() == 0
 
 
+def test_slips_in_both_words(spark):
+    people = [
+        (1, "Olumide Hosejal", "ohosejal@acme.example"),
+        (2, "Hostejal, Olmide", "ohosejal@post.example"),
+        (3, "Bert Quandirel", "ohosejal@acme.example"),
+        (4, "Hostejal Olmide", "other77@x.example"),
+        (5, "Vermida Okasul", None),
+        (6, "Vermidar Okazul", None),
+    ]
+    df = spark.createDataFrame(people, "node long, entity string, email string")
+    got = {(r["node_a"], r["node_b"]) for r in link.pairs(link.link(df, "node", "entity", "email"), "node").collect()}
+    assert (1, 2) in got and not got & {(1, 3), (2, 3), (5, 6)}
+
+
 KINDS = {
     "heading": ["# A", "## b ##", "Title\n=====", "== W ==", "<h2>x</h2>", "<H3 class='a'>x</H3>", "\\section{x}", "\\subsection*{x y}"],
     "list": ["- a\n- b", "* a\n** b", "1. a\n1. b", "<ul><li>a</li></ul>", "\\begin{itemize}\n\\item a\n\\end{itemize}", "- [x] done", "+ a"],
