@@ -29,18 +29,22 @@ def declared(dependencies: DataFrame) -> DataFrame:
     return dependencies.select("repo_id", F.lower(F.trim("name")).alias("name"))
 
 
-def p3_clean(spark: SparkSession, d: str) -> DataFrame:
-    """Clean text of release notes and issue titles; a repository is a host."""
+def pages_of(spark: SparkSession, d: str) -> DataFrame:
+    """(repo_id, id, body) of release notes and issue titles."""
     notes = table(pin(spark), d, "releases").select("repo_id", "id", F.col("notes").alias("body"))
     titles = table(spark, d, "issues").select("repo_id", "id", F.col("title").alias("body"))
-    made = sitetree.clean(notes.unionByName(titles), F.col("repo_id"), F.col("id"), F.col("body"))
+    return notes.unionByName(titles)
+
+
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Clean text of release notes and issue titles; a repository is a host."""
+    made = sitetree.clean(pages_of(spark, d), F.col("repo_id"), F.col("id"), F.col("body"))
     return made.withColumnRenamed("record", "record_id")
 
 
 def p3_hosts(spark: SparkSession, d: str) -> DataFrame:
-    """Importance of each repository's tree of release notes."""
-    notes = table(pin(spark), d, "releases")
-    return sitetree.host_importance(sitetree.read_pages(notes, F.coalesce("repo_id", F.lit("")), F.col("id"), F.col("notes")))
+    """Importance of each repository's tree of release notes and issue titles, from which ``p3_clean`` removes."""
+    return sitetree.host_importance(sitetree.read_pages(pages_of(spark, d), F.coalesce("repo_id", F.lit("")), F.col("id"), F.col("body")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

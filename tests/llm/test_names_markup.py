@@ -8,6 +8,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from repolith.llm import link, markup, names, sitetree
 
 
@@ -169,3 +170,9 @@ def test_clean_text(spark):
     assert got["p3"]["text"] == "# Release 3\n\nchanged ddddd" and got["p3"]["removed"] == 1
     assert sitetree.clean(df.limit(0), F.col("host"), F.col("record"), F.col("page")).count() == 0
     assert sitetree.host_importance(sitetree.read_pages(df, F.coalesce("host", F.lit("")), F.col("record"), F.col("page"))).filter("host = 'big'").first()["pages"] == 8
+
+
+def test_hosts_have_titles(spark, tmp_path):
+    spark.createDataFrame([("a", "r1", "# Notes")], "repo_id string, id string, notes string").write.parquet(str(tmp_path / "releases.parquet"))
+    spark.createDataFrame([("a", "i1", "fix x"), ("b", "i2", "fix y")], "repo_id string, id string, title string").write.parquet(str(tmp_path / "issues.parquet"))
+    assert {(r["host"], r["pages"]) for r in entry.queries()["p3_hosts"](spark, str(tmp_path)).collect()} == {("a", 2), ("b", 1)}
