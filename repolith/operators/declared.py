@@ -1,4 +1,4 @@
-"""Declared dependencies and what follows from them: risk, frameworks, entry points, commands."""
+"""Declared dependencies and what follows from them: risk, frameworks, entry points."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ import json
 import re
 import tomllib
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolith.functions.paths import base_name, glob_regex, is_test, numeric_version
@@ -16,12 +17,52 @@ from repolith.rules import tables
 
 #: Manifests in the order in which the first declaration of a name counts.
 ORDER = ["pom.xml", "package.json", "pyproject.toml", "requirements.txt", "go.mod"]
-# Patterns of requirements, of lines of go.mod, of makefile targets and of commands in workflows.
-_REQUIREMENT = re.compile(r"\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*([<>=!~^][^;#]*)?\s*(?:[;#].*)?$")
-_GO = re.compile(r"(?m)^\s*(?:-\s+)?([A-Za-z0-9_./~-]+)\s+(v\d[\w.+-]*)\s*(?://.*)?$")
+_NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*")
 
-_TARGET = re.compile(r"([a-zA-Z][\w-]*):\s*(?:#.*)?$")
-_RUN = re.compile(r"(?m)^\s*-\s*run:\s*(.+)$")
+
+def requirement(line: str) -> tuple[str, str] | None:
+    """Name and version condition of a requirement; extras, markers and comments are taken off."""
+    body = line.split(";")[0].split("#")[0].strip()
+    m = _NAME.match(body)
+    rest = re.sub(r"^\s*\[[^\]]*\]", "", body[m.end() :]).strip() if m else ""
+    return (m[0], rest) if m and (not rest or rest[0] in "<>=!~^") else None
+
+
+def go_requires(text: str) -> Iterator[tuple[str, str]]:
+    """(module, version) of every ``require`` of a go.mod, in blocks and in lines of their own, blocks first."""
+    single, inside = [], False
+    for line in text.splitlines():
+        words = line.split("//")[0].split()
+        if not words:
+            continue
+        if inside and words[0] == ")":
+            inside = False
+        elif words[0].startswith("require") and line.startswith("require") and "(" in line:
+            inside = True
+        elif words[0] == "require" and len(words) == 3:
+            single.append((words[1], words[2]))
+        elif inside and len(words) == 2 and words[1][:1] == "v":
+            yield words[0], words[1]
+    yield from single
+
+
+def maven_dependencies(project: ElementTree.Element) -> Iterator[tuple[str, str | None, str]]:
+    """Direct dependencies of a pom; one without a version has the first version in the file that is not the parent's or a managed one's."""
+    tag = lambda e: e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""  # noqa: E731 a comment has no name
+
+    def walk(e: ElementTree.Element) -> Iterator[ElementTree.Element]:
+        if tag(e) not in ("dependencyManagement", "parent"):
+            yield e
+            for inner in e:
+                yield from walk(inner)
+
+    kept = list(walk(project))
+    inherited = next(((e.text or "").strip() for e in kept if tag(e) == "version"), None)
+    for e in kept:
+        if tag(e) == "dependency":
+            has = {tag(x): (x.text or "").strip() for x in e}
+            if has.get("groupId") and has.get("artifactId"):
+                yield f"{has['groupId']}:{has['artifactId']}", has.get("version") or inherited, "runtime"
 
 
 def read_manifest(name: str, text: str) -> list[tuple[str, str | None, str]]:
@@ -35,22 +76,15 @@ def read_manifest(name: str, text: str) -> list[tuple[str, str | None, str]]:
                 out += [(str(k), str(v), kind) for k, v in part.items()] if isinstance(part, dict) else []
         elif name == "pyproject.toml":
             listed = tomllib.loads(text).get("project", {}).get("dependencies", [])
-            out += [(m[1], m[2], "runtime") for x in listed if isinstance(x, str) and (m := _REQUIREMENT.match(x))]
+            out += [(*m, "runtime") for x in listed if isinstance(x, str) and (m := requirement(x))]
         elif name == "requirements.txt":
             lines = [x for x in text.splitlines() if x.strip() and not x.strip().startswith(("#", "-"))]
-            out += [(m[1], m[2], "runtime") for x in lines if (m := _REQUIREMENT.match(x))]
+            out += [(*m, "runtime") for x in lines if (m := requirement(x))]
         elif name == "go.mod":
-            blocks = re.findall(r"(?ms)^require\s*\((.*?)^\)", text) + re.findall(r"(?m)^require\s+([^(\n]+)$", text)
-            out += [(n, v, "runtime") for b in blocks for n, v in _GO.findall(b)]
+            out += [(n, v, "runtime") for n, v in go_requires(text)]
         elif name == "pom.xml":
-            body = re.sub(r"(?s)<dependencyManagement>.*?</dependencyManagement>|<parent>.*?</parent>", "", text)
-            inherited = re.search(r"<version>\s*(.*?)\s*</version>", re.sub(r"(?s)<dependency>.*?</dependency>", "", body))
-            for block in re.findall(r"(?s)<dependency>(.*?)</dependency>", body):
-                tags = dict(re.findall(r"(?s)<(\w+)>\s*(.*?)\s*</\1>", block))
-                if tags.get("groupId") and tags.get("artifactId"):
-                    kind = "dev" if tags.get("scope") == "test" else "runtime"
-                    out.append((f"{tags['groupId']}:{tags['artifactId']}", tags.get("version") or (inherited and inherited[1]), kind))
-    except (ValueError, AttributeError):
+            out += maven_dependencies(ElementTree.fromstring(text))
+    except (ValueError, AttributeError, ElementTree.ParseError):
         return []
     return [(n, (v or "").strip() or None, k) for n, v, k in out]
 
@@ -114,6 +148,13 @@ def framework_rules(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFram
     )
 
 
+def framework_keys(key: Column) -> Column:
+    """Names by which a rule may know a dependency: its own, a Go path without host and version, a Maven artifact without its starter."""
+    path = F.regexp_replace(F.regexp_replace(key, r"^[^/]*\.[^/]*/", ""), r"/v[0-9]+$", "")
+    artifact = F.substring_index(key, ":", -1)
+    return F.array_distinct(F.array(key, path, artifact, F.regexp_replace(artifact, r"-(?:spring-boot-)?starter(?:-.*)?$", "")))
+
+
 def frameworks(files: DataFrame, deps: DataFrame) -> DataFrame:
     """(repo, name, version, category, confidence, evidence): by declaration, else by globs, else by texts.
 
@@ -122,8 +163,8 @@ def frameworks(files: DataFrame, deps: DataFrame) -> DataFrame:
     """
     dep, glob, text = framework_rules(files.sparkSession)
     head = ["repo", "rule", "name", "category", "confidence"]
-    one = deps.select("repo", "key", "version", "source").join(F.broadcast(dep), "key")
-    one = one.select(*head, F.lit(0).alias("way"), "j", "version", F.concat(F.lit("declared: "), "source", F.lit(":"), "key", F.coalesce(F.concat(F.lit("@"), "version"), F.lit(""))).alias("evidence"))
+    one = deps.select("repo", F.col("key").alias("declared"), "version", "source", F.explode(framework_keys(F.col("key"))).alias("key")).join(F.broadcast(dep), "key")
+    one = one.select(*head, F.lit(0).alias("way"), "j", "version", F.concat(F.lit("declared: "), "source", F.lit(":"), "declared", F.coalesce(F.concat(F.lit("@"), "version"), F.lit(""))).alias("evidence"))
     two = files.filter("lang is not null").join(F.broadcast(glob), F.expr("path rlike pattern")).groupBy(*head, "glob", "least").agg(F.count("*").alias("n")).filter("n >= least")
     two = two.select(*head, F.lit(1).alias("way"), F.lit(0).alias("j"), F.lit(None).cast("string").alias("version"), F.format_string("glob %s x%d", "glob", "n").alias("evidence"))
     three = files.filter(~is_test(F.col("path"))).join(F.broadcast(text), "lang").filter(F.contains("text", F.col("wanted")))
@@ -155,95 +196,3 @@ def entry_points(files: DataFrame, tree: DataFrame) -> DataFrame:
         part = hit.select("repo", "path", F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"), F.lit(i).alias("rule"), F.lit(why).alias("evidence"))
         made = part if made is None else made.unionByName(part)
     return made
-
-
-def make_targets(text: str) -> dict[str, str]:
-    """First command of each target of a makefile, up to ``&&``."""
-    found: dict[str, str] = {}
-    now = None
-    for line in text.splitlines():
-        if m := _TARGET.match(line):
-            now = m[1]
-            found.setdefault(now, "")
-        elif now and line.startswith("\t") and not found[now]:
-            cmd = line.strip().split("&&")[0].strip()
-            found[now] = "" if cmd.startswith("#") else cmd
-    return found
-
-
-def commands_of(files: dict[str, str]) -> dict:
-    """How a repository is installed, run and tested, from the texts of its manifests by path.
-
-    ``files`` also names lock files and ``main.go`` files, with empty text.
-    """
-    system: list[str] = []
-    found: dict[str, list[tuple[str, str]]] = {"install": [], "dev": [], "test": []}
-    explicit = False
-    if "package.json" in files:
-        system.append("node")
-        locks = [("pnpm-lock.yaml", "pnpm"), ("yarn.lock", "yarn"), ("package-lock.json", "npm"), ("package.json", "npm")]
-        lock, manager = next(x for x in locks if x[0] in files)
-        found["install"].append((f"{manager} install", f"lock file or manifest: {lock}"))
-        try:
-            scripts = json.loads(files["package.json"]).get("scripts") or {}
-        except (ValueError, AttributeError):
-            scripts = {}
-        for key, kind in (("dev", "dev"), ("start", "dev"), ("test", "test")):
-            if key in scripts:
-                explicit = True
-                found[kind].append((f"{manager} run {key}", f"package.json scripts.{key}: {scripts[key]}"))
-    if {"pyproject.toml", "requirements.txt", "setup.py"} & set(files):
-        system.append("python")
-        explicit = True
-        for path, cmd in (("requirements.txt", "pip install -r requirements.txt"), ("pyproject.toml", "pip install -e .")):
-            if path in files:
-                found["install"].append((cmd, "default (python)"))
-        found["test"].append(("pytest", "default (python)"))
-    if targets := make_targets(files.get("Makefile", "")):
-        system.append("make")
-        for key in found:
-            if targets.get(key):
-                found[key].append((targets[key], f"Makefile:{key}"))
-    flows = [p for p in files if p.startswith(".github/workflows/") and p.count("/") == 2]
-    for path in sorted(p for p in flows if p.endswith(".yml")) + sorted(p for p in flows if p.endswith(".yaml")):
-        for cmd in _RUN.findall(files[path]):
-            kind = "install" if "install" in cmd.lower() else "test" if "test" in cmd.lower() else None
-            if kind:
-                found[kind].append((cmd.strip(), "workflow run:"))
-    if "go.mod" in files:
-        system.append("go-modules")
-        explicit = True
-        mains = sorted(p.rpartition("/")[0] or "." for p in files if base(p) == "main.go")
-        found["install"].append(("go mod download", "default (go)"))
-        found["dev"].append((f"go run ./{mains[0]}" if mains else "go run ./cmd/app", "default (go)"))
-        found["test"].append(("go test ./...", "default (go)"))
-    ordered = {k: list(dict.fromkeys(c for c, _ in v if c)) for k, v in found.items()}
-    why = sorted({s.split("(")[0].strip() for v in found.values() for _, s in v})[:6]
-    return {"build_system": system, **{f"{k}_cmd": v for k, v in ordered.items()}, "confidence": 0.9 if explicit else 0.5, "evidence": why}
-
-
-def base(path: str) -> str:
-    return path.rpartition("/")[2]
-
-
-def build_run(tree: DataFrame) -> DataFrame:
-    """(repo, build_system, install_cmd, dev_cmd, test_cmd, confidence, evidence) of each repository.
-
-    Only manifests, workflows and names of ``main.go`` files come together, of one repository at a time.
-    """
-    names = [*tables.MANIFESTS, "pnpm-lock.yaml", "yarn.lock", "package-lock.json"]
-    small = F.col("path").isin(names) | F.startswith("path", F.lit(".github/workflows/")) | (base_name(F.col("path")) == "main.go")
-    text = F.when(base_name(F.col("path")) != "main.go", F.make_valid_utf8(F.col("content").cast("string")))
-    kept = tree.filter(small).select("repo", "path", F.coalesce(text, F.lit("")).alias("text"))
-    grouped = kept.groupBy("repo").agg(F.collect_list(F.struct("path", "text")).alias("files"))
-    strings = "array<string>"
-    schema = f"repo string, build_system {strings}, install_cmd {strings}, dev_cmd {strings}, test_cmd {strings}, confidence double, evidence {strings}"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = ["build_system", "install_cmd", "dev_cmd", "test_cmd", "confidence", "evidence"]
-        for b in batches:
-            made = [commands_of({f["path"]: f["text"] for f in fs}) for fs in b.column(1).to_pylist()]
-            kinds = [pa.float64() if c == "confidence" else pa.list_(pa.string()) for c in cols]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([m[c] for m in made], k) for c, k in zip(cols, kinds))], names=["repo", *cols])
-
-    return grouped.mapInArrow(run, schema)

@@ -2,47 +2,71 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repolith.functions.paths import module_of
 
-#: Extensions and index files tried for a relative JavaScript import, in this order.
-JS_TRIED = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.mjs", "/index.cjs", "/index.vue"]
+# Extensions tried for a relative JavaScript import, in this order, as a file and then as an index file.
+JS_EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue"]
+JS_TRIED = ["", *JS_EXTENSIONS, *("/index" + e for e in JS_EXTENSIONS)]
 
 
-# Patterns of import statements.
-PY_FROM = r"(?mU)^[ \t]*from\s+(\.*[\w.]*)\s+import\b"
-PY_IMPORT = r"(?mU)^[ \t]*import\s+([\w.]+(?:\s*,\s*[\w.]+)*)"
-JS_FROM = r"""\b(?:import|export)[^;'"]*?\bfrom\s*['"]([^'"]+)['"]"""
-JS_REQUIRE = r"""\brequire\s*\(\s*['"]([^'"]+)['"]\s*\)"""
-JS_DYNAMIC = r"""\bimport\s*\(\s*['"]([^'"]+)['"]\s*\)"""
-GO_BLOCK = r"(?ms)^import\s*\((.*?)^\)"
-GO_LINE = '"([^"]+)"'
-GO_SINGLE = r'(?m)^import\s+(?:\w+\s+)?"([^"]+)"'
+def _lines(text: Column, *starts: str) -> Column:
+    """Lines that start with one of the words, without the blanks around them."""
+    trimmed = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\t\r]", " ")))
+    return F.filter(trimmed, lambda x: reduce(lambda a, b: a | b, [F.startswith(x, F.lit(w)) for w in starts]))
 
 
 def python_imports(text: Column) -> Column:
-    """Array of (name, level): ``from ..a import b`` is ("a", 2), ``import a, b`` two of level 0."""
-    froms = F.regexp_extract_all(text, F.lit(PY_FROM), F.lit(1))
-    plain = F.regexp_extract_all(text, F.lit(PY_IMPORT), F.lit(1))
-    level = lambda x: (F.length(x) - F.length(F.regexp_replace(x, r"^\.+", ""))).cast("int")
-    one = F.transform(froms, lambda x: F.struct(F.regexp_replace(x, r"^\.+", "").alias("name"), level(x).alias("level")))
-    two = F.transform(F.flatten(F.transform(plain, lambda x: F.split(x, r"\s*,\s*"))), lambda x: F.struct(F.trim(x).alias("name"), F.lit(0).alias("level")))
-    return F.concat(one, F.filter(two, lambda s: s["name"] != ""))
+    """Array of (name, level): ``from ..a import b`` is ("a", 2), ``import a, b`` two of level 0; ``from`` ones come first.
+
+    Of ``import a as x, b`` only what stands before the first alias is read.
+    """
+    none = F.array().cast("array<struct<name:string,level:int>>")
+
+    def origin(x: Column) -> Column:
+        said = F.trim(F.substring_index(F.substring(x, 5, 1 << 30), "import", 1))
+        name = F.ltrim(said, F.lit("."))
+        return F.struct(name.alias("name"), (F.length(said) - F.length(name)).cast("int").alias("level"))
+
+    froms = F.transform(F.filter(_lines(text, "from ", "from."), lambda x: F.rlike(F.substring(x, 5, 1 << 30), F.lit(r"(?U)^ *[\w.]*[ .]import\b"))), origin)
+
+    def names(x: Column) -> Column:
+        listed = F.transform(F.split(F.substring(x, 8, 1 << 30), ","), lambda n: F.trim(n))
+        plain = lambda n: F.rlike(n, F.lit(r"(?U)^[\w.]+$"))
+        kept = F.filter(listed, lambda n, i: F.forall(F.slice(listed, F.lit(1), i), plain))
+        return F.transform(kept, lambda n: F.struct(F.regexp_extract(n, r"(?U)^[\w.]*", 0).alias("name"), F.lit(0).alias("level")))
+
+    plain = F.flatten(F.transform(_lines(text, "import "), names))
+    return F.concat(froms, F.coalesce(F.filter(plain, lambda s: s["name"] != ""), none))
 
 
 def js_imports(text: Column) -> Column:
-    """Specifiers of import/export from, require() and import()."""
-    return F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (JS_FROM, JS_REQUIRE, JS_DYNAMIC)))
+    """Specifiers of import/export from, require() and import(), in the order of the text.
+
+    The text is read as pairs of a quoted word and what leads to it.
+    """
+    pair = r"""([^'"]*)['"]([^'"\n]+)['"]"""
+    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pair), F.lit(1)).alias("lead"), F.regexp_extract_all(text, F.lit(pair), F.lit(2)).alias("word"))
+
+    def leads(x: Column) -> Column:
+        lead = F.rtrim(F.regexp_replace(x["lead"], r"\s+", " "))
+        statement = F.substring_index(lead, ";", -1)
+        return F.rlike(lead, F.lit(r"\b(?:require|import) ?\($")) | (F.rlike(statement, F.lit(r"\bfrom$")) & F.rlike(statement, F.lit(r"\b(?:import|export)\b")))
+
+    return F.transform(F.filter(both, leads), lambda x: x["word"])
 
 
 def go_imports(text: Column) -> Column:
-    """Paths of import blocks (one per line) and of single imports."""
-    blocks = F.regexp_extract_all(text, F.lit(GO_BLOCK), F.lit(1))
-    lines = F.flatten(F.transform(blocks, lambda b: F.split(b, "\n")))
-    inside = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, GO_LINE, 1)), lambda x: x != "")
-    return F.concat(inside, F.regexp_extract_all(text, F.lit(GO_SINGLE), F.lit(1)))
+    """Paths of import blocks (one per line), then of single imports."""
+    quoted = lambda x: F.get(F.split(x, '"'), F.lit(1))
+    blocks = F.regexp_extract_all(text, F.lit(r"(?m)^import *\(([^)]*)\)"), F.lit(1))
+    inside = F.transform(F.flatten(F.transform(blocks, lambda b: F.split(b, "\n"))), quoted)
+    single = F.transform(F.filter(F.split(text, "\n"), lambda x: F.startswith(x, F.lit("import ")) & ~F.contains(x, F.lit("("))), quoted)
+    return F.filter(F.concat(inside, single), lambda x: x.isNotNull() & (x != ""))
 
 
 def normalized(path: Column) -> Column:
@@ -80,33 +104,37 @@ def imports(files: DataFrame, go_prefixes: DataFrame | None = None) -> DataFrame
     js = files.filter("lang in ('javascript', 'typescript', 'vue')").select("repo", "path", F.posexplode(js_imports(F.col("text"))).alias("n", "spec"))
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     js = js.filter("spec like '.%'").withColumn("base", normalized(F.concat_ws("/", folder, F.col("spec")))).filter("base is not null")
-    js = js.select("repo", "path", "n", F.posexplode(F.array(*(F.concat("base", F.lit(e)) for e in JS_TRIED))).alias("rank", "target"))
-    made = py.withColumn("kind", F.lit("python")).unionByName(js.withColumn("kind", F.lit("js")))
+    tried = F.array(*(F.struct(F.concat("base", F.lit(e)).alias("target"), F.lit(False).alias("folder")) for e in JS_TRIED), F.struct(F.col("base").alias("target"), F.lit(True).alias("folder")))
+    js = js.select("repo", "path", "n", F.posexplode(tried).alias("rank", "t")).select("repo", "path", "n", "rank", "t.*")
+    made = py.withColumns({"kind": F.lit("python"), "folder": F.lit(None).cast("boolean")}).unionByName(js.withColumn("kind", F.lit("js")))
     if go_prefixes is not None:
         go = files.filter("lang = 'go'").select("repo", "path", F.posexplode(go_imports(F.col("text"))).alias("n", "spec")).join(go_prefixes, "repo")
         go = go.filter((F.col("spec") == F.col("prefix")) | F.startswith("spec", F.concat("prefix", F.lit("/"))))
-        made = made.unionByName(go.select("repo", "path", "n", F.lit(0).alias("rank"), F.expr("substr(spec, length(prefix) + 2)").alias("target"), F.lit("go").alias("kind")))
+        rest = F.expr("substr(spec, length(prefix) + 2)")
+        ways = F.array(F.struct(F.concat(rest, F.lit(".go")).alias("target"), F.lit(False).alias("folder")), F.struct(rest.alias("target"), F.lit(True).alias("folder")))
+        go = go.select("repo", "path", "n", F.posexplode(ways).alias("rank", "t"), F.lit("go").alias("kind")).select("repo", "path", "n", "rank", "t.*", "kind")
+        made = made.unionByName(go.filter("target != '.go'"))
     return made
 
 
 def resolved(tried: DataFrame, paths: DataFrame) -> DataFrame:
     """(repo, path, n, kind, module): the module that each import means; unresolved ones are left out.
 
-    A place is a file, a package or any folder; equi-joins with the set of files
-    and folders, then the best rank.
+    A place is a file or a folder that holds one, at any depth; for Python also
+    a file without its ending, which goes before a folder of that name.  For
+    the others ``folder`` says which of the two a try means.  Equi-joins with
+    the set of places, then the best rank.
     """
-    folders = paths.select("repo", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/")) - 1), lambda n: F.array_join(F.slice(F.split("path", "/"), F.lit(1), n), "/"))).alias("place"))
-    folders = folders.filter("place != ''").distinct().withColumn("at", F.col("place"))
-    plain = paths.select("repo", F.col("path").alias("place"), F.col("path").alias("at"))
-    stems = paths.filter("path like '%.py'").select("repo", F.expr("left(path, length(path) - 3)").alias("place"), F.col("path").alias("at"))
-    places = plain.withColumn("how", F.lit(0)).unionByName(stems.withColumn("how", F.lit(1))).unionByName(folders.withColumn("how", F.lit(2)))
-    hit = tried.filter("target != ''").join(places.withColumnRenamed("place", "target"), ["repo", "target"])
-    hit = hit.filter("how != 1 or kind = 'python'").unionByName(
-        tried.filter("target = '' and kind = 'go'").select("repo", "target", "path", "n", "rank", "kind", F.lit("").alias("at"), F.lit(2).alias("how"))
-    )
-    best = hit.groupBy("repo", "path", "n", "kind").agg(F.min_by(F.struct("at", "how"), F.struct("rank", "how", "at")).alias("b"))
+    folders = paths.select("repo", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/")) - 1), lambda n: F.array_join(F.slice(F.split("path", "/"), F.lit(1), n), "/"))).alias("target"))
+    folders = folders.filter("target != ''").distinct().select("repo", "target", F.col("target").alias("at"), F.lit(True).alias("is_folder"), F.lit(False).alias("stem"))
+    plain = paths.select("repo", F.col("path").alias("target"), F.col("path").alias("at"), F.lit(False).alias("is_folder"), F.lit(False).alias("stem"))
+    stems = paths.filter("path like '%.py'").select("repo", F.expr("left(path, length(path) - 3)").alias("target"), F.col("path").alias("at"), F.lit(False).alias("is_folder"), F.lit(True).alias("stem"))
+    hit = tried.filter("target != ''").join(plain.unionByName(stems).unionByName(folders), ["repo", "target"])
+    hit = hit.filter(F.when(F.col("kind") == "python", F.col("stem") | F.col("is_folder")).otherwise(~F.col("stem") & (F.col("folder") == F.col("is_folder"))))
+    root = tried.filter("target = '' and kind = 'go'").select("repo", "target", "path", "n", "rank", "kind", "folder", F.lit("").alias("at"), F.lit(True).alias("is_folder"), F.lit(False).alias("stem"))
+    best = hit.unionByName(root).groupBy("repo", "path", "n", "kind").agg(F.min_by(F.struct("at", "is_folder"), F.struct("rank", "is_folder", "at")).alias("b"))
     # A folder is its own first segment even at the top, where a file is in the root.
-    top = F.when(F.col("b.at") == "", "(root)").when(F.col("b.how") == 2, F.substring_index("b.at", "/", 1)).otherwise(module_of(F.col("b.at")))
+    top = F.when(F.col("b.at") == "", "(root)").when(F.col("b.is_folder"), F.substring_index("b.at", "/", 1)).otherwise(module_of(F.col("b.at")))
     return best.select("repo", "path", "n", "kind", top.alias("module"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolith.operators import declared, files, graph, modules
+from repolith.operators import commands, declared, files, graph, modules
 from repolith.rules import tables
 from repolith.storage import materialize
 
@@ -79,7 +79,7 @@ def profile(tree: DataFrame, max_bytes: int = tables.MAX_FILE_BYTES) -> DataFram
         gathered(edges, "internal", [-F.col("weight"), F.col("source"), F.col("target")], ["source", "target", "weight"]),
         gathered(declared.external(deps), "external", [F.col("kind"), F.lower("name")], ["name", "version", "kind", "risk", "reason"]),
         gathered(declared.frameworks(read, deps), "frameworks", [F.coalesce("category", F.lit("zzz")), -F.col("confidence"), F.col("name"), F.col("rule")], ["name", "version", "category", "confidence", "evidence"]),
-        declared.build_run(tree).select("repo", F.struct("build_system", "install_cmd", "dev_cmd", "test_cmd", "confidence", "evidence").alias("build_run")),
+        commands.build_run(tree).select("repo", F.struct("build_system", "install_cmd", "dev_cmd", "test_cmd", "confidence", "evidence").alias("build_run")),
         gathered(nodes, "call_nodes", [F.col("node")], ["node", "path", "line", "type"]),
         gathered(calls, "call_edges", [F.col("source"), F.col("target")], ["source", "target"]),
         gathered(levels, "layer_violations", [F.col("source"), F.col("target")], ["source", "target", "severity"]),
@@ -124,7 +124,7 @@ def lite(tree: DataFrame) -> DataFrame:
     entries = texts.withColumn("e", first).filter("e is not null").select("repo", "path", "e.type", "e.confidence", "e.evidence")
     entries = entries.unionByName(declared.entry_points(kept, tree).filter(F.startswith("evidence", F.lit("package.json"))).select("repo", "path", "type", "confidence", "evidence"))
     dirs = kept.groupBy("repo", F.substring_index("path", "/", 1).alias("dir")).agg(F.count("*").alias("files"))
-    commands = declared.build_run(tree).withColumns({"confidence": F.lit(LITE_CONFIDENCE), "build_system": F.sort_array("build_system")})
+    runs = commands.build_run(tree).withColumns({"confidence": F.lit(LITE_CONFIDENCE), "build_system": F.sort_array("build_system")})
     sums = code.groupBy("repo").agg(F.greatest(F.coalesce(F.sum("loc"), F.lit(0)), F.lit(1)).alias("total_loc"), F.count_if("too_big").alias("too_big"))
     row = warnings(config_files(tree).join(sums, "repo", "left"))
     row = row.withColumn("warnings", F.concat(F.array(F.struct(F.lit("SCAN_MODE").alias("code"), F.lit("lite").alias("detail"))), "warnings"))
@@ -133,7 +133,7 @@ def lite(tree: DataFrame) -> DataFrame:
         gathered(dirs, "top_level_dirs", [-F.col("files"), F.col("dir")], ["dir", "files"]),
         gathered(files.largest(code, ["repo"]), "largest_files", [F.col("place")], ["path", "loc"]),
         gathered(entries, "entry_points", [-F.col("confidence"), F.col("path")], ["path", "type", "confidence", "evidence"]),
-        commands.select("repo", F.struct("build_system", "install_cmd", "dev_cmd", "test_cmd", "confidence", "evidence").alias("build_run")),
+        runs.select("repo", F.struct("build_system", "install_cmd", "dev_cmd", "test_cmd", "confidence", "evidence").alias("build_run")),
     ):
         row = row.join(part, "repo", "left")
     return row.withColumns({"schema_version": F.lit("1.0"), "generated_at": F.current_timestamp()})

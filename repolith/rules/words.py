@@ -1,12 +1,16 @@
 """Word lists and thresholds of the history and retrieval operators."""
 
 # Words that say nothing about the content of a commit subject.
-SUBJECT_STOPWORDS = (
-    "the a an and or to of in for on with fix add update chore docs init merge pull request branch test tests new use into from this that not"
-).split()
+SUBJECT_STOPWORDS = [
+    "the", "a", "an", "and", "or", "to", "of", "in", "for", "on", "with", "fix", "add", "update", "chore", "docs", "init", "merge", "pull", "request", "branch",
+    "test", "tests", "new", "use", "into", "from", "this", "that", "not",
+]
 
 # Words that say nothing in a question.
-QUESTION_STOPWORDS = "the a an and or to of in for on with".split() + "什么 哪些 怎么 如何 我的 我 的 了 是 在 有 哪个 那些 请 帮我 最近 在忙 正在 一下 情况".split()
+QUESTION_STOPWORDS = [
+    "the", "a", "an", "and", "or", "to", "of", "in", "for", "on", "with",
+    "什么", "哪些", "怎么", "如何", "我的", "我", "的", "了", "是", "在", "有", "哪个", "那些", "请", "帮我", "最近", "在忙", "正在", "一下", "情况",
+]
 
 # Patterns of terms (Latin words and runs of CJK ideographs).
 SUBJECT_TERM = r"[a-z][a-z0-9_-]{2,}|[\x{4e00}-\x{9fff}]{2,}"

@@ -2,7 +2,8 @@
 
 Spark's file sources leave out names that start with ``.`` or ``_``, of which
 repositories have many.  Folders that are left out are not entered; only files
-that a detector reads are opened.
+that a detector reads are opened.  Of the files that are left out, lock files in
+the root are rows without size, content and ``error``: only their names count.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from repolith.rules import tables
 SCHEMA = "repo string, path string, size long, content binary, error boolean"
 #: Files whose content is read whatever their language.
 READ = {*tables.MANIFESTS, *tables.MONOREPO}
+LOCKS = {name for name, _ in tables.LOCKS}
 
 
 class _Part(InputPartition):
@@ -79,6 +81,8 @@ class TreeReader(DataSourceReader):
             folders[:] = [] if part.files_only else [d for d in sorted(folders) if not ignored(prefix + d, d, patterns, True)]
             for name in sorted(files):
                 if ignored(prefix + name, name, patterns, False):
+                    if not prefix and name in LOCKS:
+                        yield repo, name, None, None, None
                     continue
                 full = os.path.join(folder, name)
                 try:

@@ -50,17 +50,17 @@ def test_signals_and_timeline(spark, copy, tmp_path):
         cli.read_pack(spark, str(path))
 
 
-def test_scan_and_graph(spark, linked):
-    doc = cli.scan(spark, linked)
+def test_scan_and_graph(spark, traders):
+    doc = cli.scan(spark, traders)
     assert doc["git"] is None and len(doc["modules"]) == 8
-    lines = cli.module_graph(spark, linked, "mermaid").split("\n")
-    assert lines[0] == "flowchart LR" and len(lines) == 12
+    lines = cli.module_graph(spark, traders, "mermaid").split("\n")
+    assert lines[0] == "flowchart LR" and len(lines) == 16
 
 
-def test_lite(spark, linked):
-    lite, full = cli.scan(spark, linked, "lite"), cli.scan(spark, linked)
+def test_lite(spark, traders):
+    lite, full = cli.scan(spark, traders, "lite"), cli.scan(spark, traders)
     assert all(lite[k] == full[k] for k in ("languages", "totalFiles", "largestFiles", "configFiles"))
-    assert [(e["path"], e["type"]) for e in lite["entryPoints"]] == [("cmd/server/main.go", "cli"), ("bin/cli.js", "cli"), ("web/main.ts", "gui"), ("app.py", "cli")]
+    assert [(e["path"], e["type"]) for e in lite["entryPoints"]] == [("gate/main.go", "cli"), ("tools/quote.js", "cli"), ("desk.py", "cli")]
     assert lite["warnings"][0] == {"code": "SCAN_MODE", "detail": "lite"} and lite["buildRun"]["confidence"] == 0.6
 
 

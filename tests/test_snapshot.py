@@ -15,63 +15,104 @@ from repolith.sources.tree import read_tree
 
 
 @pytest.fixture(scope="module")
-def rows(spark, polyglot, linked, quality):
-    made = P.profile(read_tree(spark, polyglot, linked, quality))
+def rows(spark, depot, traders, clinic):
+    made = P.profile(read_tree(spark, depot, traders, clinic))
     return {r["repo"]: r.asDict(recursive=True) for r in made.collect()}
 
 
 def test_languages_and_structure(rows):
-    r = rows["polyglot"]
-    assert (r["total_files"], r["total_loc"]) == (11, 66)
-    assert {x["name"]: (x["files"], x["loc"]) for x in r["languages"]} == {"go": (2, 33), "typescript": (1, 20), "python": (1, 10), "shell": (1, 2), "vue": (1, 1)}
-    assert r["languages"][0]["pct"] == 50.0
-    assert {x["dir"]: x["files"] for x in r["top_level_dirs"]}["(root)"] == 6
-    assert r["top_level_dirs"][-1]["dir"] == "(root)"
-    assert {x["dir"]: x["role"] for x in r["top_level_dirs"]}["cmd"] == "guessed-entry"
+    r = rows["depot"]
+    assert (r["total_files"], r["total_loc"]) == (12, 81)
+    assert {x["name"]: (x["files"], x["loc"], x["pct"]) for x in r["languages"]} == {
+        "rust": (2, 50, 61.7), "python": (1, 25, 30.9), "shell": (1, 3, 3.7), "vue": (1, 2, 2.5), "sql": (1, 1, 1.2)
+    }
+    assert [(x["dir"], x["files"], x["role"]) for x in r["top_level_dirs"]] == [("engine", 2, "guessed-entry"), ("report", 2, None), ("screen", 2, "guessed-frontend"), ("plans", 1, None), ("(root)", 5, None)]
     assert [w["code"] for w in r["warnings"]] == ["MIXED_MONOREPO"]
-    assert r["config_files"] == ["README.md", "go.mod", "package.json"]
-    assert [(x["name"], x["risk"]) for x in r["external"]] == [("vue", "HIGH")]
-    assert r["largest_files"][0] == {"path": "pkg/util/util.go", "loc": 30}
+    assert r["config_files"] == ["Cargo.toml", "LICENSE", "pyproject.toml"]
+    assert [(x["name"], x["version"], x["risk"]) for x in r["external"]] == [("Django", "==2.2.28", "HIGH"), ("httpx", ">=0.27", None)]
+    assert [(x["path"], x["loc"]) for x in r["largest_files"]][:2] == [("engine/main.rs", 37), ("report/totals.py", 25)]
+    assert [f["name"] for f in r["frameworks"]] == ["Django"]
 
 
-def test_size_cap(spark, polyglot):
-    tree = read_tree(spark, polyglot, max_file_bytes=64)
-    code = files.prepared(tree, 64)
+def test_size_cap(spark, depot):
+    tree = read_tree(spark, depot, max_file_bytes=300)
+    code = files.prepared(tree, 300)
     got = {r["name"]: (r["files"], r["loc"]) for r in files.language_stats(code, ["repo"], "lang", F.col("loc")).collect()}
-    assert got["go"] == (2, 3)
-    assert code.filter("too_big").count() >= 1
+    assert got["rust"] == (2, 13)
+    assert sorted(r["path"] for r in code.filter("too_big").collect()) == ["engine/main.rs", "report/totals.py"]
 
 
 def test_modules_and_entry_points(rows):
-    r = rows["linked"]
-    assert {(e["source"], e["target"], e["weight"]) for e in r["internal"]} == {("(root)", "tools", 1), ("cmd", "internal", 1), ("bin", "src", 1)}
-    assert len(r["modules"]) == 8 and all(m["files"] == 1 for m in r["modules"])
-    tight = {m["module"]: m["cohesion"] for m in r["modules"]}
-    assert tight["cmd"] == 0.0 and tight["core"] is None
-    assert [(e["path"], e["confidence"]) for e in r["entry_points"]] == [("cmd/server/main.go", 0.9), ("app.py", 0.85), ("bin/cli.js", 0.85), ("web/main.ts", 0.85), ("app.py", 0.8)]
-    assert [(x["name"], x["version"], x["kind"]) for x in r["external"]] == [("vitest", "^1.2.0", "dev"), ("github.com/x/y", "v1.2.3", "runtime"), ("vue", "^3.4.0", "runtime")]
-    assert {f["name"] for f in r["frameworks"]} == {"Vue", "Vitest", "FastAPI"}
-    assert r["build_run"]["dev_cmd"] == ["go run ./cmd/server"]
+    r = rows["traders"]
+    edges = {(e["source"], e["target"]): e["weight"] for e in r["internal"]}
+    assert edges == {
+        ("gate", "ledger"): 1,  # a folder
+        ("gate", "(root)"): 1,  # quotes.go goes before quotes/
+        ("quotes", "(root)"): 1,  # the prefix alone
+        ("(root)", "risk"): 2,
+        ("tools", "(root)"): 1,  # format.ts goes before format/
+        ("tools", "format"): 1,
+        ("web", "format"): 1,
+    }
+    tight = {m["module"]: (m["files"], m["cohesion"]) for m in r["modules"]}
+    assert tight == {"(root)": (3, 0.0), "gate": (1, 0.0), "ledger": (1, None), "quotes": (1, 0.0), "risk": (3, 1.0), "tools": (2, 0.33), "format": (1, None), "web": (1, 0.0)}
+    assert [(e["path"], e["type"], e["confidence"]) for e in r["entry_points"]] == [("gate/main.go", "cli", 0.9), ("tools/quote.js", "cli", 0.85), ("desk.py", "cli", 0.8), ("desk.py", "server", 0.8)]
+    assert [(x["name"], x["version"], x["kind"], x["risk"]) for x in r["external"]] == [
+        ("jest", "^29.0.0", "dev", None), ("github.com/gin-gonic/gin", "v1.9.1", "runtime", None), ("gorm.io/gorm", "v1.25.0", "runtime", None), ("koa", "^2.15", "runtime", None), ("react", "17.0.2", "runtime", "HIGH")
+    ]
+    assert {(f["name"], f["version"]) for f in r["frameworks"]} == {("Gin", "v1.9.1"), ("GORM", "v1.25.0"), ("Koa", "^2.15"), ("React", "17.0.2"), ("Jest", "^29.0.0"), ("Flask", None)}
+    assert r["build_run"]["build_system"] == ["node", "go-modules"]
+    assert r["build_run"]["install_cmd"] == ["yarn install", "go mod download"]
+    assert r["build_run"]["dev_cmd"] == ["yarn run start", "go run ./gate"]
 
 
 def test_quality_and_commands(rows):
-    r = rows["quality"]
-    signals = [(h["path"], h["signal"].split()[0]) for h in r["complexity_hotspots"]]
-    assert signals == [("big.py", "long-file"), ("big.py", "deep-nesting"), ("big.py", "cognitive-complexity")]
-    assert r["complexity_hotspots"][2]["signal"].startswith("cognitive-complexity max=28 fn=busy")
-    assert r["todos"] == {"todo": 2, "fixme": 0}
-    assert r["test_evidence"] == {"test_files": 1, "ratio": 0.25, "frameworks": ["pytest"]}
-    assert r["build_run"]["confidence"] == 0.9
-    assert r["build_run"]["install_cmd"] == ["pip install -r requirements.txt", "pip install -e .", "pip install tox"]
-    assert r["build_run"]["test_cmd"] == ["pytest", "pytest -q", "tox -e test"]
-    deps = {x["name"]: x["version"] for x in r["external"]}
-    assert deps["fastapi"] is None and deps["uvicorn"] == ">=0.2" and deps["pytest"] == "==8.0"
-    assert {(v["source"], v["target"], v["severity"]) for v in r["layer_violations"]} == {("UserController", "UserRepository", "HIGH")}
-
-
-def test_profile_json(spark, polyglot):
-    doc = json.loads(P.to_json(P.profile(read_tree(spark, polyglot))).first()["json"])
-    assert doc["schemaVersion"] == "1.0" and doc["totalFiles"] == 11 and doc["layerViolations"] is None
+    r = rows["clinic"]
+    assert [(h["path"], h["signal"]) for h in r["complexity_hotspots"]] == [
+        ("ward.py", "long-file loc=428"), ("ward.py", "deep-nesting indent=24"), ("ward.py", "cognitive-complexity max=21 fn=triage over=1")
+    ]
+    assert r["todos"] == {"todo": 2, "fixme": 1}
+    assert r["test_evidence"] == {"test_files": 1, "ratio": 0.2, "frameworks": ["pytest"]}
+    got = r["build_run"]
+    assert got["build_system"] == ["node", "python", "make"] and got["confidence"] == 0.9
+    assert got["install_cmd"] == ["npm install", "pip install -r requirements.txt", "poetry install", "make INSTALL"]
+    assert got["dev_cmd"] == ["npm run dev"]
+    assert got["test_cmd"] == ["npm run test", "pytest", "@pytest -q", "tox -e test"]
+    assert got["evidence"] == ["Makefile:install", "Makefile:test", "default", "lock file or manifest: package-lock.json", "package.json scripts.dev: vite", "package.json scripts.test: vitest run"]
+    assert {x["name"]: x["version"] for x in r["external"]} == {"sqlalchemy": "~=2.0", "pytest": "==7.4", "requests": None}
+    assert {(v["source"], v["target"], v["severity"]) for v in r["layer_violations"]} == {("VisitController", "VisitDao", "HIGH")}
+
+
+def test_function_scores(spark):
+    js = """export async function load(a) {
+  if (a) { return 1 }
+  for (const x of a) {
+    if (x) { go() }
+  }
+}
+class Box {
+  open(a) {
+    switch (a) { case 1: break }
+  }
+  if (x) {
+}
+const late = (a) => { if (a) { while (a) {} } }
+function one() { if (1) {} }
+"""
+    go = "func (b *Box) Open(a int) {\n\tfor a > 0 {\n\t\tif a {\n\t\t}\n\t}\n}\nfunc Close() {\n}\n"
+    py = "def a():\n    if x:\n        if y:\n            pass\n\n    return 1\nif z: pass\nclass C:\n    def b(self): return 1\n    def c(self):\n        for i in j: pass"
+    want = {"javascript": ("load", 6), "go": ("Open", 3), "python": ("a", 3)}
+    for lang, text in (("javascript", js), ("go", go), ("python", py)):
+        df = spark.createDataFrame([("r", "p", lang, text)], "repo string, path string, lang string, text string")
+        got = files.complexity(df, 1).first()
+        assert (got["name"], got["score"]) == want[lang], lang
+    empty = spark.createDataFrame([("r", "p", "go", ""), ("r", "q", "python", None), ("r", "s", "rust", "fn a() {}")], "repo string, path string, lang string, text string")
+    assert files.complexity(empty, 1).count() == 0 and files.complexity(df.limit(0), 1).count() == 0
+
+
+def test_profile_json(spark, depot):
+    doc = json.loads(P.to_json(P.profile(read_tree(spark, depot))).first()["json"])
+    assert doc["schemaVersion"] == "1.0" and doc["totalFiles"] == 12 and doc["layerViolations"] is None
 
 
 def test_cycles(spark):
