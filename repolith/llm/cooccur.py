@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Baskets with more items that count don't emit their pairs; see ``cooccurrence``.
-PAIRS_FROM = 2000
+from repolith.storage import materialize
+
+#: Baskets with more items are large: they are cut into blocks, and emit fewer pairs where a pair must meet more than once.
+LARGE = 2000
 
 
 def cooccurrence(
@@ -15,7 +17,7 @@ def cooccurrence(
     item: str,
     min_count: int = 1,
     min_lift: float | None = None,
-    pairs_from: int = PAIRS_FROM,
+    large: int = LARGE,
 ) -> DataFrame:
     """(a, b, n_ab, n_a, n_b, lift, pmi) of items a < b (by bytes) in at least ``min_count`` baskets together.
 
@@ -24,76 +26,88 @@ def cooccurrence(
     n_ab * n / (n_a * n_b), pmi its natural logarithm.  Null baskets and items
     are left out; empty text is an item like any other.  No rows give no pairs.
 
-    Items are deduplicated in each basket, each basket emits its ordered pairs,
-    and counts are combined before the shuffle.  Items that cannot be in a
-    result are dropped before: those in fewer than ``min_count`` baskets, and
-    with ``min_lift`` those in more than n / min_lift.  Both bounds are exact.
+    Items are deduplicated in each basket and numbered, each basket emits its
+    ordered pairs of numbers, and counts are combined before the shuffle.  Items
+    that cannot be in a result are dropped before: those in fewer than
+    ``min_count`` baskets, and with ``min_lift`` those in more than n / min_lift.
+    Both bounds are exact.
 
-    A basket of more than ``pairs_from`` remaining items would emit too many
-    pairs.  Such baskets, few by definition, are numbered, and each item carries
-    the numbers of those that hold it; a pair from other baskets looks up how
-    many of the numbers its items share, and pairs that only meet in the large
-    baskets are found from groups of items with the same numbers, where these
-    alone reach ``min_count``.  The counts are exact either way.
+    A basket of more than ``large`` remaining items is cut into blocks of about
+    so many, and a task emits the pairs of two blocks.  And a pair of items that
+    meets ``min_count`` times meets in a basket other than the min_count - 1
+    largest ones of either item; so these, where they are large, emit no pairs
+    with the item, and are counted for the pairs found elsewhere.  Baskets that
+    hold a good part of all items thereby cost a lookup for each pair and not
+    the square of their size.  Counts are exact, and no number of baskets, large
+    ones or items is too high.
     """
     baskets = df.filter(F.col(basket).isNotNull()).agg(F.count_distinct(basket)).first()[0]
     base = df.select(F.col(basket).alias("k"), F.col(item).alias("i")).filter("k is not null and i is not null").distinct()
-    single = base.groupBy("i").agg(F.count("*").alias("n"))
-    able = single.filter(F.col("n") >= min_count)
+    able = base.groupBy("i").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
     if min_lift:
         able = able.filter(F.col("n") * min_lift <= baskets)
-    kept = base.join(able.select("i"), "i", "left_semi")
-    large = kept.groupBy("k").count().filter(F.col("count") > pairs_from).select("k")
-    large_keys = large.limit(100_001).collect()
-    if len(large_keys) > 100_000:
-        raise ValueError("more than 100000 large baskets: raise pairs_from")
-    small = kept
-    if large_keys:
-        numbers = df.sparkSession.createDataFrame([(r["k"], i) for i, r in enumerate(sorted(large_keys, key=lambda r: str(r["k"])))], ["k", "no"])
-        small = kept.join(F.broadcast(numbers), "k", "left_anti")  # at most 100,000 rows
-    pairs = (
-        small.groupBy("k")
-        .agg(F.sort_array(F.collect_list("i")).alias("items"))  # at most pairs_from items
-        .select("items", F.posexplode("items").alias("p", "a"))
-        .select("a", F.explode(F.slice("items", F.col("p") + 2, F.size("items"))).alias("b"))
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("n_ab"))
-    )
-    if large_keys:
-        pairs = _with_large(pairs, kept.join(F.broadcast(numbers), "k"), len(large_keys), min_count)
+    able = materialize(able.withColumn("id", F.monotonically_increasing_id()), "items")
+    kept = materialize(base.join(able.select("i", "id"), "i").select("k", "id"), "baskets")
+    big = kept.groupBy("k").agg(F.count("*").alias("size")).filter(F.col("size") > large)
+    some_big = not big.isEmpty()
+    if some_big:
+        pairs = _with_large(kept, materialize(big, "large"), min_count, large)
+    else:
+        pairs = _emitted(kept.groupBy("k").agg(F.collect_list("id").alias("ids")))
+    pairs = pairs.groupBy("a", "b").agg(F.sum("c").alias("n_ab")).filter(F.col("n_ab") >= min_count)
     n = F.lit(float(baskets))
+    first, second = F.col("ia") < F.col("ib"), F.col("ia") >= F.col("ib")
     return (
-        pairs.filter(F.col("n_ab") >= min_count)
-        .join(able.select(F.col("i").alias("a"), F.col("n").alias("n_a")), "a")
-        .join(able.select(F.col("i").alias("b"), F.col("n").alias("n_b")), "b")
-        .withColumn("lift", F.col("n_ab") * n / (F.col("n_a") * F.col("n_b")))
-        .filter(F.lit(True) if min_lift is None else F.col("n_ab") * n >= min_lift * F.col("n_a") * F.col("n_b"))
-        .select("a", "b", "n_ab", "n_a", "n_b", "lift", F.log("lift").alias("pmi"))
+        pairs.join(able.select(F.col("id").alias("a"), F.col("i").alias("ia"), F.col("n").alias("na")), "a")
+        .join(able.select(F.col("id").alias("b"), F.col("i").alias("ib"), F.col("n").alias("nb")), "b")
+        .withColumn("lift", F.col("n_ab") * n / (F.col("na") * F.col("nb")))
+        .filter(F.lit(True) if min_lift is None else F.col("n_ab") * n >= min_lift * F.col("na") * F.col("nb"))
+        .select(
+            F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "n_ab",
+            F.when(first, F.col("na")).otherwise(F.col("nb")).alias("n_a"), F.when(second, F.col("na")).otherwise(F.col("nb")).alias("n_b"),
+            "lift", F.log("lift").alias("pmi"),
+        )
+    )
+
+
+def _emitted(blocks: DataFrame) -> DataFrame:
+    """(a, b, c): the pairs a < b within each array ``ids``, counted before they are shuffled."""
+    return (
+        blocks.select(F.sort_array("ids").alias("ids"))
+        .select("ids", F.posexplode("ids").alias("p", "a"))
+        .select("a", F.explode(F.slice("ids", F.col("p") + 2, F.size("ids"))).alias("b"))
+        .groupBy("a", "b")
+        .agg(F.count("*").alias("c"))
     )
 
 
-def _with_large(pairs: DataFrame, members: DataFrame, count: int, min_count: int) -> DataFrame:
-    """Add to the pairs of small baskets how often their items meet in large ones."""
-    held = members.groupBy("i").agg(F.sort_array(F.collect_list("no")).alias("s"))  # numbers of large baskets, which are few
-    if count >= min_count:
-        groups = held.groupBy("s").agg(F.count("*").alias("c")).filter(F.size("s") >= min_count).select("s", F.explode("s").alias("no"))
-        met = (
-            groups.alias("x")
-            .join(groups.alias("y"), "no")
-            .groupBy(F.col("x.s").alias("s"), F.col("y.s").alias("t"))
-            .agg(F.count("*").alias("c"))
-            .filter(F.col("c") >= min_count)
-            .select("s", "t")
-        )
-        only = (
-            held.withColumnRenamed("i", "a")
-            .join(met, "s")
-            .join(held.select(F.col("i").alias("b"), F.col("s").alias("t")), "t")
-            .filter("a < b")
-            .select("a", "b", F.lit(0).cast("long").alias("n_ab"))
-        )
-        pairs = pairs.unionByName(only).groupBy("a", "b").agg(F.sum("n_ab").alias("n_ab"))
-    of_a = held.select(F.col("i").alias("a"), F.col("s").alias("sa"))
-    of_b = held.select(F.col("i").alias("b"), F.col("s").alias("sb"))
-    shared = F.coalesce(F.size(F.array_intersect("sa", "sb")), F.lit(0))
-    return pairs.join(of_a, "a", "left").join(of_b, "b", "left").select("a", "b", (F.col("n_ab") + F.greatest(shared, F.lit(0))).alias("n_ab"))
+def _with_large(kept: DataFrame, big: DataFrame, min_count: int, large: int) -> DataFrame:
+    """(a, b, c) whose sums are the counts of the pairs that can reach ``min_count``; ``big`` has (k, size) of the large baskets."""
+    sized = kept.join(big, "k", "left")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("size"), "k"))
+    # At most min_count - 1 rows of an item are kept by every task before the shuffle.
+    set_aside = materialize(sized.filter("size is not null").withColumn("rank", rank).filter(F.col("rank") < min_count).select("k", "id"), "aside")
+    emitting = sized.join(set_aside, ["k", "id"], "left_anti")
+    parts = F.ceil(F.coalesce("size", F.lit(1)) / large)
+    blocks = emitting.groupBy("k", F.pmod(F.xxhash64("id"), parts).alias("block")).agg(F.collect_list("id").alias("ids"), F.max("size").alias("size"))
+    blocks = materialize(blocks, "blocks")
+    cut = blocks.filter("size is not null")
+    across = (
+        cut.select("k", "block", F.col("ids").alias("x"))
+        .join(cut.select("k", F.col("block").alias("other"), F.col("ids").alias("y")), "k")
+        .filter("block < other")
+        .select(F.explode("x").alias("x"), "y")
+        .select("x", F.explode("y").alias("y"))
+        .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .agg(F.count("*").alias("c"))
+    )
+    met = _emitted(blocks).unionByName(across)
+    if min_count < 2:
+        return met
+    met = materialize(met.groupBy("a", "b").agg(F.sum("c").alias("c")), "met")
+    pairs = met.select("a", "b")
+    of_a = pairs.join(set_aside.withColumnRenamed("id", "a"), "a").join(kept.withColumnRenamed("id", "b"), ["k", "b"]).select("a", "b")
+    of_b = pairs.join(set_aside.withColumnRenamed("id", "b"), "b").join(kept.withColumnRenamed("id", "a"), ["k", "a"])
+    of_b = of_b.join(set_aside.withColumnRenamed("id", "a"), ["k", "a"], "left_anti").select("a", "b")
+    aside = of_a.unionByName(of_b).groupBy("a", "b").agg(F.count("*").alias("c"))
+    return met.unionByName(aside)

@@ -62,7 +62,7 @@ def test_cooccurrence(spark):
     both = Counter(p for s in baskets.values() for p in combinations(sorted(s), 2))
     for least, lift, limit in ((1, None, 2000), (2, None, 8), (5, 4, 2000), (5, 1.2, 6), (3, None, 3)):
         want = {(*p, c) for p, c in both.items() if c >= least and (lift is None or c * n >= lift * single[p[0]] * single[p[1]])}
-        made = cooccur.cooccurrence(df, "n", "i", least, lift, pairs_from=limit).collect()
+        made = cooccur.cooccurrence(df, "n", "i", least, lift, large=limit).collect()
         assert {(x["a"], x["b"], x["n_ab"]) for x in made} == want, (least, lift, limit)
         assert all(abs(x["pmi"] - math.log(x["n_ab"] * n / single[x["a"]] / single[x["b"]])) < 1e-9 for x in made)
     assert cooccur.cooccurrence(df.limit(0), "n", "i").count() == 0
