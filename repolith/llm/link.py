@@ -23,12 +23,48 @@ from repolith.storage import materialize
 
 #: A word of at most FEW names next to one of MANY times as many is a slip in typing.
 FEW, MANY = 2, 4
+#: A short form is learned where so many families show it, and so much of what stands beside the word is the long form.
+FAMILIES, SHARE = 3, 0.5
 
 
 def _letters(handle: Column) -> Column:
     return F.regexp_replace(handle, "[^a-z]", "")
 
 
+def learned(rows: DataFrame) -> DataFrame:
+    """(word, long): short forms of given names that the rows themselves show.
+
+    Two names of one mailbox that share a word may be two forms of one.  Words
+    that are seen so with ``FAMILIES`` or more shared words are, if ``SHARE`` of
+    all that the rarer word is seen with is the other: a slip in typing is made
+    once, and people who share a mailbox and a family name have names of all
+    kinds, but a short form has one long form.
+    """
+    used = rows.filter("first is not null and not organisation").select("handle", "first", "last").distinct()
+    views = used.select("handle", F.col("last").alias("family"), F.col("first").alias("word")).unionByName(used.select("handle", F.col("first").alias("family"), F.col("last").alias("word")))
+    bearers = views.groupBy("word").agg(F.count_distinct("family").alias("bearers"))
+    forms = views.filter("not startswith(handle, '@')").distinct()
+    met = (
+        forms.join(forms.withColumnRenamed("word", "long"), ["handle", "family"])
+        .filter("word != long")
+        .groupBy("word", "long")
+        .agg(F.count_distinct("family").alias("families"))
+        .join(bearers, "word")
+        .join(bearers.select(F.col("word").alias("long"), F.col("bearers").alias("long_bearers")), "long")
+    )
+    best = F.struct("families", "long_bearers", "long", "bearers").alias("b")
+    found = met.groupBy("word").agg(F.max(best)["families"].alias("families"), F.max(best)["long"].alias("long"), F.max(best)["long_bearers"].alias("long_bearers"), F.max(best)["bearers"].alias("bearers"), F.sum("families").alias("all"))
+    return found.filter((F.col("families") >= FAMILIES) & (F.col("families") >= SHARE * F.col("all")) & (F.col("long_bearers") > F.col("bearers"))).select("word", "long")
+
+
+def long_forms(rows: DataFrame, forms: DataFrame) -> DataFrame:
+    """Rows with learned short forms in ``first``, ``last`` and ``single`` made long."""
+    for c in ("first", "last", "single"):
+        rows = rows.join(forms.select(F.col("word").alias(c), F.col("long").alias("_long")), c, "left")
+        rows = rows.withColumn(c, F.when(F.col("organisation") & (F.col(c) == F.col("last")), F.col(c)).otherwise(F.coalesce("_long", c))).drop("_long")
+    return rows
+
+
 def _variant_keys(keys: DataFrame) -> DataFrame:
     """(key, other, distance, slip): different names of which one word is equal and the other a variant.
 
@@ -68,10 +104,18 @@ def _mailbox_variants(used: DataFrame) -> DataFrame:
     met = name_pairs(words, "handle", "word").join(side("a", "_x"), ["block", "a"]).join(side("b", "_y"), ["block", "b"])
     straight = _close(F.col("first_x"), F.col("first_y")) & _close(F.col("last_x"), F.col("last_y"))
     crossed = _close(F.col("first_x"), F.col("last_y")) & _close(F.col("last_x"), F.col("first_y"))
-    found = met.filter(straight | crossed).select(F.col("block").alias("handle"), F.col("key_x").alias("key"), F.col("key_y").alias("other"))
+    found = met.filter((straight | crossed) & (F.col("key_x") != F.col("key_y"))).select(F.col("block").alias("handle"), F.col("key_x").alias("key"), F.col("key_y").alias("other"))
     return found.unionByName(found.select("handle", F.col("other").alias("key"), F.col("key").alias("other"))).distinct()
 
 
+def _shortened(used: DataFrame) -> DataFrame:
+    """(handle, key, other): names used with one handle of which one word is equal and the other, of two letters at least, begins the other."""
+    views = used.select("handle", "key", F.col("first").alias("family"), F.col("last").alias("word")).unionByName(used.select("handle", "key", F.col("last").alias("family"), F.col("first").alias("word")))
+    met = views.join(views.select("handle", "family", F.col("key").alias("other"), F.col("word").alias("whole")), ["handle", "family"])
+    found = met.filter((F.length("word") >= 2) & (F.col("word") != F.col("whole")) & F.startswith("whole", F.col("word")) & (F.col("key") != F.col("other"))).select("handle", "key", "other")
+    return found.unionByName(found.select("handle", F.col("other").alias("key"), F.col("key").alias("other")))
+
+
 def link(df: DataFrame, key: str, name: str, email: str) -> DataFrame:
     """(id, entity): the entity of each identity, named by the least node of its component.
 
@@ -79,8 +123,9 @@ def link(df: DataFrame, key: str, name: str, email: str) -> DataFrame:
     without an id are left out, as are null and empty names and addresses as
     evidence; repeated ids are one identity with several spellings.
     """
+    typed = materialize(parsed(df.filter(F.col(key).isNotNull()).select(key, name, email).distinct(), key, name, email), "typed")
     rows = (
-        parsed(df.filter(F.col(key).isNotNull()).select(key, name, email).distinct(), key, name, email)
+        long_forms(typed, materialize(learned(typed), "forms"))
         .withColumn("key", F.when(F.col("first").isNotNull(), F.array_join(F.sort_array(F.array("first", "last")), " ")))
         # a role's mailbox names an organisation, and nobody else
         .withColumn("handle", F.when(F.col("organisation") | ~F.startswith("handle", F.lit("@")), F.col("handle")))
@@ -95,7 +140,7 @@ def link(df: DataFrame, key: str, name: str, email: str) -> DataFrame:
     # The main name of a handle: one that the handle is derived from, the one with most variants, and the most used.
     used = named.filter("handle is not null").groupBy("handle", "key").agg(F.count("*").alias("n")).join(keys.select("key", "first", "last", "times"), "key")
     used = materialize(used, "used")
-    twice = materialize(_mailbox_variants(used), "twice")
+    twice = materialize(_mailbox_variants(used).unionByName(_shortened(used)).distinct(), "twice")
     beside = used.select("handle", F.col("key").alias("other"), "n")
     support = (
         beside.join(variants.select("key", "other"), "other")

@@ -18,60 +18,52 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Titles, legal forms, words of organisations' names, mailboxes of roles.
-TITLES = set("dr mr mrs ms prof sir madam jr sr ii iii iv phd md".split())
-LEGAL = set("the inc incorporated ltd limited llc gmbh ag corp corporation co company plc team".split())
-ORGANISATION = set(
-    "systems labs lab foundation collective works software technologies technology solutions group studio studios project "
-    "university institute association community consulting networks media partners ventures bot".split()
-)
-ROLES = set("oss dev hello ops info contact admin support team office mail noreply root webmaster security help hr press sales git".split())
-# Short forms of given names.
+TITLES = {"dr", "mr", "mrs", "ms", "prof", "sir", "madam", "jr", "sr", "ii", "iii", "iv", "phd", "md"}
+LEGAL = {"the", "inc", "incorporated", "ltd", "limited", "llc", "gmbh", "ag", "corp", "corporation", "co", "company", "plc", "team"}
+ORGANISATION = {
+    "systems", "labs", "lab", "foundation", "collective", "works", "software", "technologies", "technology", "solutions", "group", "studio", "studios", "project",
+    "university", "institute", "association", "community", "consulting", "networks", "media", "partners", "ventures", "bot",
+}
+ROLES = {
+    "oss", "dev", "hello", "ops", "info", "contact", "admin", "support", "team", "office", "mail", "noreply", "root", "webmaster", "security", "help", "hr", "press",
+    "sales", "git",
+}
+# Common short forms of English given names; others are learned from the rows (``link.learned``).
 SHORT_FORMS = {
-    "alexander": "alex sasha xander sandy alec",
-    "andrea": "andi andy drea",
-    "andrew": "drew",
-    "anthony": "tony",
-    "benjamin": "ben benji benny",
-    "charles": "charlie chuck",
-    "christopher": "chris topher kit kris",
-    "daniel": "dan danny",
-    "david": "dave",
-    "edward": "ed eddie ned",
-    "elizabeth": "liz beth lizzie betty eliza lisa libby",
-    "fatima": "fati fatma tima",
-    "gregory": "greg gregg",
-    "haruka": "haru",
-    "ingrid": "inga inge",
-    "james": "jim jimmy jamie",
-    "jennifer": "jen jenny jenn jenna",
-    "john": "johnny jack",
-    "joseph": "joe joey",
-    "joshua": "josh",
-    "katherine": "kate kathy kat katie kathryn kay",
-    "leonardo": "leo leon",
-    "margaret": "peggy maggie meg marge greta",
-    "mateo": "teo",
-    "matthew": "matt matty",
-    "michael": "mike mick mikey mickey",
-    "natalia": "natasha nat tasha talia",
-    "nicholas": "nick nicky nico klaus",
-    "olumide": "olu",
-    "patricia": "pat patty trish",
-    "priyanka": "priya",
-    "rebecca": "becky becca",
-    "richard": "rick dick rich",
-    "robert": "bob bobby rob robbie bert",
-    "samuel": "sam sammy",
-    "stephen": "steve",
-    "theodore": "theo ted teddy",
-    "thomas": "tom tommy",
-    "timothy": "tim timmy",
-    "victoria": "vicky vic tori vicki",
-    "william": "will bill billy liam willy",
-    "xiaoming": "ming",
-    "yuchen": "yu",
+    "alexander": ["alex", "sasha", "xander", "sandy", "alec"],
+    "andrew": ["drew"],
+    "anthony": ["tony"],
+    "benjamin": ["ben", "benji", "benny"],
+    "charles": ["charlie", "chuck"],
+    "christopher": ["chris", "topher", "kit"],
+    "daniel": ["dan", "danny"],
+    "david": ["dave"],
+    "edward": ["ed", "eddie", "ned"],
+    "elizabeth": ["liz", "beth", "lizzie", "betty", "eliza", "libby"],
+    "gregory": ["greg", "gregg"],
+    "james": ["jim", "jimmy", "jamie"],
+    "jennifer": ["jen", "jenny", "jenn"],
+    "john": ["johnny", "jack"],
+    "joseph": ["joe", "joey"],
+    "joshua": ["josh"],
+    "katherine": ["kate", "kathy", "kat", "katie", "kathryn", "kay"],
+    "margaret": ["peggy", "maggie", "meg", "marge"],
+    "matthew": ["matt", "matty"],
+    "michael": ["mike", "mick", "mikey", "mickey"],
+    "nicholas": ["nick", "nicky"],
+    "patricia": ["pat", "patty", "trish"],
+    "rebecca": ["becky", "becca"],
+    "richard": ["rick", "dick", "rich"],
+    "robert": ["bob", "bobby", "rob", "robbie"],
+    "samuel": ["sam", "sammy"],
+    "stephen": ["steve"],
+    "theodore": ["theo", "ted", "teddy"],
+    "thomas": ["tom", "tommy"],
+    "timothy": ["tim", "timmy"],
+    "victoria": ["vicky", "vicki"],
+    "william": ["will", "bill", "billy", "willy"],
 }
-LONG_FORM = {s: name for name, shorts in SHORT_FORMS.items() for s in shorts.split()}
+LONG_FORM = {s: name for name, shorts in SHORT_FORMS.items() for s in shorts}
 
 
 def fold(text: str) -> str:
@@ -183,7 +175,7 @@ def name_pairs(df: DataFrame, block: str, name: str) -> DataFrame:
     Blocks and names that are null or empty have no pairs.  Only distinct
     (block, name) are joined, so frequent names cost no more than rare ones; a
     segment shared by many names of a block is joined in several tasks by
-    adaptive execution.
+    adaptive execution, and only pairs within the edits leave these tasks.
     """
     distinct = df.select(F.col(block).alias("block"), F.col(name).alias("name")).filter("block is not null and name != ''").distinct()
     schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("name", T.StringType()), T.StructField("length", T.IntegerType()), T.StructField("segment", T.IntegerType()), T.StructField("text", T.StringType())])
@@ -204,11 +196,10 @@ def name_pairs(df: DataFrame, block: str, name: str) -> DataFrame:
     return (
         longer.join(shorter, ["block", "length", "segment", "text"])
         .filter("x != y")
-        .select("block", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), allowed.alias("k"))
-        .distinct()
-        .withColumn("distance", F.levenshtein("a", "b", 2))
+        .select("block", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.levenshtein("x", "y", 2).alias("distance"), allowed.alias("k"))
         .filter("distance >= 0 and distance <= k")
         .select("block", "a", "b", "distance")
+        .distinct()
     )
 
 

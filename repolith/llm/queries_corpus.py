@@ -18,7 +18,8 @@ def p6_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_weights(spark, d).filter("tf >= 4 and records <= 3").select("repo_id", "term")
+    """Cases are weighted terms: ``weight`` is not negative, which the plan doesn't know and computes."""
+    return p6_weights(spark, d).filter("tf >= 4 and records <= 3 and weight >= 0").select("repo_id", "term")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -39,6 +40,13 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.shares(p9_mix(spark, d), table(spark, d, "mix_targets"), "source", "n_tokens")
 
 
+def p9_held(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each source that occurs holds its share due to within half a percent of the total, and its repeats."""
+    report = p9_shares(spark, d).filter("due_share is not null")
+    holds = F.abs(F.col("actual_share") - F.col("due_share")) <= 0.005
+    return report.select("source", F.bround("due_share", 9).alias("due_share"), holds.alias("holds"), (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"))
+
+
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.pieces(table(pin(spark), d, "documents"), "doc_id", "text", LIMIT, OVERLAP)
 
@@ -54,6 +62,7 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_held": p9_held,
     "p10_found": p10_found,
     "p10_pieces": p10_pieces,
 }
@@ -68,6 +77,10 @@ n AS (SELECT greatest(2, count(DISTINCT repo_id)) AS n FROM commits WHERE sha IS
 """
 
 SQL = {
+    "p9_held": """
+WITH here AS (SELECT DISTINCT lower(trim(source, ' ')) AS source FROM documents WHERE text <> ''),
+t AS (SELECT lower(trim(m.source, ' ')) AS source, target_share FROM mix_targets m WHERE lower(trim(m.source, ' ')) IN (SELECT source FROM here) AND target_share > 0 AND max_repeats > 0)
+SELECT source, round_even(target_share / sum(target_share) OVER (), 9) AS due_share, true AS holds, true AS within_repeats FROM t""",
     "p6_found": TERMS_SQL + "SELECT repo_id, term FROM l JOIN s USING (term) WHERE tf >= 4 AND records <= 3",
     "p6_weights": TERMS_SQL
     + """SELECT repo_id, term, tf, records, greatest(ln(1 + tf) * (1 - (ln(a) - x / a) / ln(n)), 0.0) AS weight

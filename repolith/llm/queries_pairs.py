@@ -51,12 +51,34 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_clean(spark, d).select("record_id", F.explode("structure").alias("structure")).distinct()
 
 
+def identities(spark: SparkSession, d: str) -> DataFrame:
+    """(identity, author_id, name, email): the rows of authors, and what gitlog and commits have besides.
+
+    An identity is named ``author:ID``; one of gitlog or commits, whose name or
+    address no author has, by a hash of both.
+    """
+    authors = table(pin(spark), d, "authors").select("author_id", F.col("authorName").alias("name"), F.col("authorEmail").alias("email"))
+    log = table(spark, d, "gitlog").select(F.col("authorName").alias("name"), F.col("authorEmail").alias("email")).distinct()
+    known = authors.select("name", "email").distinct()
+    log = log.join(known.withColumn("known", F.lit(True)), log["name"].eqNullSafe(known["name"]) & log["email"].eqNullSafe(known["email"]), "left_anti")
+    bare = F.lower(F.trim("email"))
+    boxes = table(spark, d, "commits").filter("author_email is not null").groupBy(F.lower(F.trim("author_email")).alias("box")).agg(F.min("author_email").alias("email"))
+    seen = authors.select(bare.alias("box")).unionByName(log.select(bare.alias("box"))).filter("box is not null").distinct()
+    boxes = boxes.join(seen, "box", "left_anti").select(F.lit(None).cast("string").alias("name"), "email")
+    rest = log.select("name", "email").unionByName(boxes).withColumn("identity", F.concat(F.lit("typed:"), F.sha2(F.to_json(F.struct("name", "email"), {"ignoreNullFields": "false"}), 256)))
+    own = authors.filter("author_id is not null").withColumn("identity", F.concat(F.lit("author:"), F.col("author_id").cast("string")))
+    return own.unionByName(rest, allowMissingColumns=True)
+
+
 def p4_entities(spark: SparkSession, d: str) -> DataFrame:
-    return link.link(table(pin(spark), d, "authors"), "author_id", "authorName", "authorEmail")
+    """The entity of every identity of authors, gitlog and commits."""
+    return link.link(identities(spark, d), "identity", "name", "email")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return link.pairs(p4_entities(spark, d), "author_id")
+    """Pairs of authors; identities of the other tables are links between them."""
+    linked = p4_entities(spark, d).filter(F.startswith("identity", F.lit("author:")))
+    return link.pairs(linked.select(F.expr("bigint(substr(identity, 8))").alias("author_id"), "entity"), "author_id")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -70,6 +92,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return made[0].unionByName(made[1])
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every repository with the class of its set of topics or dependencies, and its number of similar repositories."""
+    topics = current_topics(table(pin(spark), d, "repos"))
+    names = declared(table(spark, d, "dependencies")).filter("repo_id is not null and name is not null")
+    names = names.groupBy("repo_id").agg(F.collect_set("name").alias("items"))
+    made = [
+        setjoin.class_links(df, "repo_id", "items", Fraction(6, 10), least=3)[0].select(F.lit(field).alias("field"), "repo_id", "class", "records", "links")
+        for field, df in (("topics", topics), ("dependencies", names))
+    ]
+    return made[0].unionByName(made[1])
+
+
 def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
     return cooccur.cooccurrence(declared(table(pin(spark), d, "dependencies")), "repo_id", "name", min_count=2)
 
@@ -84,7 +118,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return made.select(F.col("a").alias("name_a"), F.col("b").alias("name_b"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_entities": p4_entities, "p3_found": p3_found, "p3_clean": p3_clean, "p3_hosts": p3_hosts, "p5_found": p5_found, "p7_found": p7_found, "p7_pairs": p7_pairs, "p7_all": p7_all}
+QUERIES = {"p4_found": p4_found, "p4_entities": p4_entities, "p3_found": p3_found, "p3_clean": p3_clean, "p3_hosts": p3_hosts, "p5_found": p5_found, "p5_classes": p5_classes, "p7_found": p7_found, "p7_pairs": p7_pairs, "p7_all": p7_all}
 
 PAIRS_SQL = """
 WITH d AS (SELECT DISTINCT repo_id, lower(trim(name, ' ')) AS name FROM dependencies WHERE repo_id IS NOT NULL AND name IS NOT NULL),

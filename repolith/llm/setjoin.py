@@ -232,6 +232,24 @@ def similar_classes(sets: DataFrame, threshold: Fraction, least: int = 1) -> Dat
     )
 
 
+def class_links(df: DataFrame, record: str, items: str, threshold: Fraction, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(record, class, records, links) of every record with a set, and (a, b) of the similar classes.
+
+    Records with equal sets are one class, which is not expanded: ``records``
+    is how many it has, and ``links`` how many other records are similar to
+    each of them, its own class included where its set is large enough.
+    """
+    sets, members = classes(df, record, items)
+    near = materialize(similar_classes(sets, threshold, least), "links")
+    count = materialize(members.groupBy("class").agg(F.count("*").alias("records")), "classes")
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    other = both.join(count.select(F.col("class").alias("b"), "records"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("records").alias("others"))
+    own = F.when(F.col("n") >= max(1, least), F.col("records") - 1).otherwise(0)
+    links = (own + F.coalesce("others", F.lit(0))).cast("long").alias("links")
+    known = count.join(sets.select("class", "n"), "class").join(other, "class", "left").select("class", "records", links)
+    return members.join(known, "class").select(record, F.lower(F.hex("class")).alias("class"), "records", "links"), near
+
+
 def similar(df: DataFrame, record: str, items: str, threshold: Fraction, least: int = 1) -> DataFrame:
     """(a, b): records a < b whose sets of items are similar.
 

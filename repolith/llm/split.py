@@ -121,8 +121,14 @@ def split(text: str, limit: int, overlap: int, code: Encoder) -> list[tuple[int,
         while (n := size(start, ends[last])) > limit:
             if last > k:
                 last -= 1
-            else:
+            elif start < at:
                 start += 1  # less overlap
+            elif ends[k] - at > 1:
+                whole_unit = ends[k]
+                ends[k : k + 1] = range(at + 1, whole_unit + 1)  # the unit is longer by itself than within the text
+                last = bisect_left(ends, whole_unit, k)
+            else:
+                break  # one character of more tokens than the limit
         made.append((starts[start], starts[ends[last]], n, LEVELS[level[at]] if at else None))
         at, k = ends[last], last + 1
         start = min(at, max(bisect_left(total, total[at] - overlap), start + 1))

@@ -31,6 +31,14 @@ def test_random_texts():
         check("".join(r.choices(pool, k=r.randint(0, 150))), limit, r.randint(0, limit - 5))
 
 
+def test_no_text_is_left_out():
+    """Small limits, where units need more tokens by themselves than within the text."""
+    r = random.Random(11)
+    pool = [*"ab c. \n\n#-我们。é😀\r\t1", "\n\n", "word ", " zzzzz", "́", "```\n", "## x\n", "- ", "   ", "'s"]
+    for _ in range(6000):
+        check("".join(r.choices(pool, k=r.randint(0, 60))), r.randint(6, 9), 0)
+
+
 def test_boundaries():
     text = "# One\n\n" + "First sentence here. " * 20 + "\n\n# Two\n\n" + "- item of a list\n" * 20
     made = split.split(text, 110, 0, CODE)
