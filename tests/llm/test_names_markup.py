@@ -90,6 +90,25 @@ def test_linking(spark):
     assert link.link(df.limit(0), "node", "entity", "email").count() == 0
 
 
+def test_learned_short_forms(spark):
+    """A short form seen in three families is learned, and then links names of other mailboxes; family names of couples are not."""
+    rows, n = [], 0
+    for family in ("Okasul", "Brandivel", "Chermodin"):
+        for name in ("Wilhelmina", "Minke"):
+            n += 1
+            rows.append((n, f"{name} {family}", f"wilhelmina.{family.lower()}@acme.example"))
+    for i in range(8):  # further bearers of the long form
+        rows.append((20 + i, f"Wilhelmina Dra{chr(97 + i)}vo{chr(97 + i)}n", None))
+    rows += [(40, "Minke Tarvosil", "tarvosilw@post.example"), (41, "Wilhelmina Tarvosil", "wtarvosil@acme.example"), (42, "Minka Other", None)]
+    for i, (x, y) in enumerate([("Anders", "Birgit"), ("Carla", "Dmitri"), ("Erik", "Farah")]):
+        rows += [(50 + 2 * i, f"{x} Fam{i}ilo", f"box{i}x@home.example"), (51 + 2 * i, f"{y} Fam{i}ilo", f"box{i}x@home.example")]
+    df = spark.createDataFrame(rows, "node long, entity string, email string")
+    typed = names.parsed(df, "node", "entity", "email")
+    assert {(r["word"], r["long"]) for r in link.learned(typed).collect()} == {("minke", "wilhelmina")}
+    got = {(r["node_a"], r["node_b"]) for r in link.pairs(link.link(df, "node", "entity", "email"), "node").collect()}
+    assert {(1, 2), (3, 4), (5, 6), (40, 41)} <= got and not any(a >= 50 for a, _ in got)
+
+
 def test_slips_in_both_words(spark):
     people = [
         (1, "Olumide Hosejal", "ohosejal@acme.example"),
@@ -149,6 +168,26 @@ def test_blocks_within_blocks(text, want, kinds):
     assert set().union(*(b.kinds for b in blocks)) == kinds
 
 
+DEEP = [
+    ("3. c\n4. d", ["3. c", "4. d"]),
+    ("1. one\n  - sub\n  - more\n2. two", ["1. one", "  - sub", "  - more", "2. two"]),
+    ("1. one\n- sub\n2. two", ["1. one", "- sub", "2. two"]),
+    ("<ol start='7'><li>x</li><li>y</li></ol>", ["7. x", "8. y"]),
+    ("> ## t\n> - a\n>\n> 2. b", ["## t", "- a", "2. b"]),
+    (">>> x\n>> y", ["x\ny"]),
+    ("".join("  " * i + f"- x{i}\n" for i in range(10)), ["  " * i + f"- x{i}" for i in range(10)]),
+    ("<div>a<section><h2>b</h2><ul><li>c</li></ul></section></div>", ["a", "## b", "- c"]),
+    ("<div>a<div>b", ["a\nb"]),
+    ("\\begin{itemize}\\item a\\begin{enumerate}\\item b\\end{enumerate}\\item c\\end{itemize}", ["- a", "  1. b", "- c"]),
+    ("<table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table>", ["a | b\nc"]),
+]
+
+
+@pytest.mark.parametrize("text, want", DEEP)
+def test_depth_and_numbers(text, want):
+    assert [t for b in markup.parse(text) for _, t in markup.leaves(b)] == want
+
+
 def test_never_fails():
     r = random.Random(9)
     bits = ["```", "$", "$$", "\\(", "<b", "<li>", "</ul>", "{{", "}}", "[[", "\n", "\n\n", "# ", "- ", "|", "---", "a", " ", "&", "&lt;", "'''", "\x00", "\x001\x00", "\\begin{itemize}", "\\item", "=", "*"]
@@ -156,6 +195,8 @@ def test_never_fails():
         for b in markup.parse("".join(r.choices(bits, k=r.randint(0, 25)))):
             assert markup.leaves(b) is not None
     markup.parse("[" * 50_000 + "a" * 50_000)
+    for text in ("<div>" * 20_000 + "x" + "</div>" * 20_000, ">" * 20_000 + " x", "<ul><li>" * 5_000 + "x" + "</li></ul>" * 5_000):
+        assert "x" in sitetree.page_leaves(text)[0][2]
 
 
 def test_clean_text(spark):
@@ -172,6 +213,29 @@ def test_clean_text(spark):
     assert sitetree.host_importance(sitetree.read_pages(df, F.coalesce("host", F.lit("")), F.col("record"), F.col("page"))).filter("host = 'big'").first()["pages"] == 8
 
 
+def test_removed_branches(spark):
+    """Pages of three hosts with branches known to be boilerplate or content: at least 0.9 of each is told apart."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=r.randint(4, 9)))
+    phrase = lambda n: " ".join(word() for _ in range(n))
+    rows, keep, drop = [], {}, {}
+    for h in range(3):
+        menu = "<nav><ul>" + "".join(f"<li>menu {word()}</li>" for _ in range(4)) + "</ul></nav>"
+        foot = f"<footer><div>foot {phrase(5)}<ul><li>foot {word()}</li></ul></div></footer>"
+        for i in range(25):
+            body = [f"body{i} {phrase(6)}" for _ in range(3)]
+            items = [f"body{i} {phrase(3)}" for _ in range(r.randint(1, 3))]
+            rows.append((f"h{h}", f"h{h}p{i}", f"{menu}<div><h2>{body[0]}</h2>\n\n{body[1]}<ul>{''.join(f'<li>{x}</li>' for x in items)}</ul>{body[2]}</div>{foot}"))
+            keep[f"h{h}p{i}"] = [*body, *items]
+            drop[f"h{h}p{i}"] = 4 + 2
+    df = spark.createDataFrame(rows, "host string, record string, page string")
+    got = {x["record"]: x for x in sitetree.clean(df, F.col("host"), F.col("record"), F.col("page")).collect()}
+    kept = sum(t in got[k]["text"] for k, ts in keep.items() for t in ts)
+    left = sum(got[k]["text"].count("menu ") + got[k]["text"].count("foot ") for k in drop)
+    assert kept >= 0.9 * sum(map(len, keep.values()))
+    assert left <= 0.1 * sum(drop.values())
+
+
 def test_hosts_have_titles(spark, tmp_path):
     spark.createDataFrame([("a", "r1", "# Notes")], "repo_id string, id string, notes string").write.parquet(str(tmp_path / "releases.parquet"))
     spark.createDataFrame([("a", "i1", "fix x"), ("b", "i2", "fix y")], "repo_id string, id string, title string").write.parquet(str(tmp_path / "issues.parquet"))
