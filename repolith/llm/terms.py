@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repolith.storage import materialize
+
 # Fixed value: what counts as a term of a lower-cased message.
 TERM = r"[a-z][a-z0-9_-]{2,}|[\x{4e00}-\x{9fff}]{2,}"
 
@@ -22,8 +24,8 @@ def log_entropy(df: DataFrame, record: str, unit: str, text: str, pattern: str =
     counts for N if it has a unit.  Empty input gives no rows.
 
     Two aggregations: terms by record, then spread by term.  Both have a partial
-    step before the shuffle; the join back is by term, where adaptive execution
-    splits what is skewed.
+    step before the shuffle.  The first is written, as it is read twice; the join
+    back is by term, where adaptive execution splits what is skewed.
     """
     units = (
         df.select(F.col(record).alias("r"), F.col(unit).alias("u"), F.col(text).alias("t"))
@@ -32,7 +34,7 @@ def log_entropy(df: DataFrame, record: str, unit: str, text: str, pattern: str =
         .agg(F.collect_set("t").alias("t"))  # a unit's deliveries are few, and equal ones count once
     )
     found = F.array_distinct(F.flatten(F.transform("t", lambda t: F.regexp_extract_all(F.lower(t), F.lit(pattern), F.lit(0)))))
-    local = units.select("r", F.explode(found).alias("term")).groupBy("r", "term").agg(F.count("*").alias("tf"))
+    local = materialize(units.select("r", F.explode(found).alias("term")).groupBy("r", "term").agg(F.count("*").alias("tf")), "terms")
     spread = local.groupBy("term").agg(
         F.count("*").alias("records"),
         F.sum("tf").alias("all"),
