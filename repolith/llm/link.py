@@ -59,10 +59,11 @@ def learned(rows: DataFrame) -> DataFrame:
 
 def long_forms(rows: DataFrame, forms: DataFrame) -> DataFrame:
     """Rows with learned short forms in ``first``, ``last`` and ``single`` made long."""
-    for c in ("first", "last", "single"):
-        rows = rows.join(forms.select(F.col("word").alias(c), F.col("long").alias("_long")), c, "left")
-        rows = rows.withColumn(c, F.when(F.col("organisation") & (F.col(c) == F.col("last")), F.col(c)).otherwise(F.coalesce("_long", c))).drop("_long")
-    return rows
+    words = F.explode(F.array_distinct(F.array_compact(F.array("first", "last", "single")))).alias("word")
+    numbered = materialize(rows.withColumn("no", F.monotonically_increasing_id()), "numbered")
+    changed = numbered.filter("not organisation").select("no", words).join(forms, "word").groupBy("no").agg(F.map_from_entries(F.collect_list(F.struct("word", "long"))).alias("of"))
+    long = lambda c: F.coalesce(F.element_at("of", F.col(c)), F.col(c)).alias(c)
+    return numbered.join(changed, "no", "left").select(*(long(c) if c in ("first", "last", "single") else F.col(c) for c in rows.columns))
 
 
 def _variant_keys(keys: DataFrame) -> DataFrame:
@@ -125,7 +126,7 @@ def link(df: DataFrame, key: str, name: str, email: str) -> DataFrame:
     """
     typed = materialize(parsed(df.filter(F.col(key).isNotNull()).select(key, name, email).distinct(), key, name, email), "typed")
     rows = (
-        long_forms(typed, materialize(learned(typed), "forms"))
+        long_forms(typed, learned(typed))
         .withColumn("key", F.when(F.col("first").isNotNull(), F.array_join(F.sort_array(F.array("first", "last")), " ")))
         # a role's mailbox names an organisation, and nobody else
         .withColumn("handle", F.when(F.col("organisation") | ~F.startswith("handle", F.lit("@")), F.col("handle")))
@@ -169,6 +170,8 @@ def link(df: DataFrame, key: str, name: str, email: str) -> DataFrame:
         # a login in place of a name
         ~one_initial & derived(_letters(single), a, b),
         ~one_initial & (F.regexp_replace(single, "[^a-z0-9]", "") == F.col("handle")),
+        # no name at all, in a mailbox that the name has given its handle
+        single.isNull() & ~one_initial & derived(_letters(F.col("handle")), a, b),
     )
     fits = any_of(F.col("key") == F.col("main"), F.col("near"), weak)
     held = at.withColumn("as", F.when(fits, F.col("main")).otherwise(F.col("key"))).filter("as is not null")

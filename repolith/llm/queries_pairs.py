@@ -51,23 +51,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_clean(spark, d).select("record_id", F.explode("structure").alias("structure")).distinct()
 
 
-def identities(spark: SparkSession, d: str) -> DataFrame:
-    """(identity, author_id, name, email): the rows of authors, and what gitlog and commits have besides.
+def identities(spark: SparkSession, d: str, commits: bool = True) -> DataFrame:
+    """(identity, name, email): the rows of authors, and what gitlog and, unless told not to, commits have besides.
 
-    An identity is named ``author:ID``; one of gitlog or commits, whose name or
-    address no author has, by a hash of both.
+    An identity is named ``author:ID``; one of gitlog or commits, whose name and
+    address no author has together, by a hash of both.
     """
-    authors = table(pin(spark), d, "authors").select("author_id", F.col("authorName").alias("name"), F.col("authorEmail").alias("email"))
-    log = table(spark, d, "gitlog").select(F.col("authorName").alias("name"), F.col("authorEmail").alias("email")).distinct()
-    known = authors.select("name", "email").distinct()
-    log = log.join(known.withColumn("known", F.lit(True)), log["name"].eqNullSafe(known["name"]) & log["email"].eqNullSafe(known["email"]), "left_anti")
-    bare = F.lower(F.trim("email"))
-    boxes = table(spark, d, "commits").filter("author_email is not null").groupBy(F.lower(F.trim("author_email")).alias("box")).agg(F.min("author_email").alias("email"))
-    seen = authors.select(bare.alias("box")).unionByName(log.select(bare.alias("box"))).filter("box is not null").distinct()
-    boxes = boxes.join(seen, "box", "left_anti").select(F.lit(None).cast("string").alias("name"), "email")
-    rest = log.select("name", "email").unionByName(boxes).withColumn("identity", F.concat(F.lit("typed:"), F.sha2(F.to_json(F.struct("name", "email"), {"ignoreNullFields": "false"}), 256)))
-    own = authors.filter("author_id is not null").withColumn("identity", F.concat(F.lit("author:"), F.col("author_id").cast("string")))
-    return own.unionByName(rest, allowMissingColumns=True)
+    hashed = F.sha2(F.to_json(F.struct("name", "email"), {"ignoreNullFields": "false"}), 256)
+    authors = table(pin(spark), d, "authors").select("author_id", F.col("authorName").alias("name"), F.col("authorEmail").alias("email")).withColumn("typed", hashed)
+    rest = table(spark, d, "gitlog").select(F.col("authorName").alias("name"), F.col("authorEmail").alias("email"))
+    if commits:
+        boxes = table(spark, d, "commits").filter("author_email is not null").select(F.lit(None).cast("string").alias("name"), F.lower(F.trim("author_email")).alias("email"))
+        rest = rest.unionByName(boxes)
+    rest = rest.distinct().withColumn("typed", hashed).join(authors.select("typed"), "typed", "left_anti")
+    own = authors.filter("author_id is not null").select(F.concat(F.lit("author:"), F.col("author_id").cast("string")).alias("identity"), "name", "email")
+    return own.unionByName(rest.select(F.concat(F.lit("typed:"), "typed").alias("identity"), "name", "email"))
 
 
 def p4_entities(spark: SparkSession, d: str) -> DataFrame:
@@ -76,8 +74,12 @@ def p4_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of authors; identities of the other tables are links between them."""
-    linked = p4_entities(spark, d).filter(F.startswith("identity", F.lit("author:")))
+    """Pairs of authors; identities of gitlog are links between them.
+
+    Addresses of commits come without a name, so each goes with one mailbox at
+    most and cannot link two authors: they are left to ``p4_entities``.
+    """
+    linked = link.link(identities(spark, d, commits=False), "identity", "name", "email").filter(F.startswith("identity", F.lit("author:")))
     return link.pairs(linked.select(F.expr("bigint(substr(identity, 8))").alias("author_id"), "entity"), "author_id")
 
 
