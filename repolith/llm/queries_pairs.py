@@ -129,8 +129,7 @@ s AS (SELECT name, count(*) AS k FROM d GROUP BY ALL),
 p AS (SELECT x.name AS a, y.name AS b, count(*) AS n_ab FROM d x JOIN d y ON x.repo_id = y.repo_id AND x.name < y.name GROUP BY ALL)
 """
 
-SQL = {
-    "p5_found": """
+SETS_SQL = """
 WITH now AS (
   SELECT id, topics_json FROM repos WHERE id IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY last_synced_at::TIMESTAMPTZ DESC, arrived_at DESC, topics_json DESC NULLS LAST) = 1),
@@ -142,10 +141,22 @@ i AS (
 n AS (SELECT field, repo_id, count(*) AS n FROM i GROUP BY ALL HAVING count(*) >= 3),
 c AS (
   SELECT x.field, x.repo_id AS a, y.repo_id AS b, count(*) AS c
-  FROM i x JOIN i y ON x.field = y.field AND x.item = y.item AND x.repo_id < y.repo_id GROUP BY ALL)
-SELECT c.field, a AS repo_id_a, b AS repo_id_b
-FROM c JOIN n x ON x.field = c.field AND x.repo_id = a JOIN n y ON y.field = c.field AND y.repo_id = b
-WHERE 10 * c >= 6 * (x.n + y.n - c)""",
+  FROM i x JOIN i y ON x.field = y.field AND x.item = y.item AND x.repo_id < y.repo_id GROUP BY ALL),
+p AS (
+  SELECT c.field, a, b FROM c JOIN n x ON x.field = c.field AND x.repo_id = a JOIN n y ON y.field = c.field AND y.repo_id = b
+  WHERE 10 * c >= 6 * (x.n + y.n - c))
+"""
+
+SQL = {
+    "p5_found": SETS_SQL + "SELECT field, a AS repo_id_a, b AS repo_id_b FROM p",
+    "p5_classes": SETS_SQL
+    + """, w AS (
+  SELECT field, repo_id, substr(sha256(to_json(list(item ORDER BY item))::VARCHAR), 1, 32) AS class FROM i WHERE item IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT 'topics', id, substr(sha256('[]'), 1, 32) FROM now
+    WHERE len(list_filter(from_json(CASE WHEN json_valid(topics_json) THEN topics_json END, '["VARCHAR"]'), lambda x: x IS NOT NULL)) = 0),
+k AS (SELECT field, class, count(*) AS records FROM w GROUP BY ALL),
+l AS (SELECT field, r, count(*) AS links FROM (SELECT field, a AS r FROM p UNION ALL SELECT field, b FROM p) GROUP BY ALL)
+SELECT w.field, repo_id, class, records, coalesce(links, 0) AS links FROM w JOIN k USING (field, class) LEFT JOIN l ON l.field = w.field AND l.r = w.repo_id""",
     "p7_found": PAIRS_SQL
     + """SELECT a AS name_a, b AS name_b FROM p JOIN s x ON x.name = a JOIN s y ON y.name = b, n
 WHERE n_ab >= 5 AND n_ab * n >= 4 * x.k * y.k""",
