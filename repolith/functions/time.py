@@ -21,6 +21,11 @@ def iso_seconds(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def now_iso() -> Column:
+    """This instant as ``YYYY-MM-DDTHH:MM:SSZ``."""
+    return iso_seconds(F.current_timestamp())
+
+
 def month_key(c: Column | str) -> Column:
     """``YYYY-MM``: the first seven characters of ISO text."""
     return F.substring(c, 1, 7)

@@ -31,29 +31,33 @@ def weekly_trend(commits: DataFrame, at: Column, added: Column, removed: Column,
     )
 
 
-def file_churn(touches: DataFrame, path: str, commit: str, added: str, removed: str, ord_: str) -> DataFrame:
+def file_churn(touches: DataFrame, path: str, commit: str, added: str, removed: str, ord_: str, by: list[str] | None = None) -> DataFrame:
     """Commits and lines by file; ``first`` is the least ordinal at which it was met."""
-    return touches.groupBy(F.col(path).alias("path")).agg(
+    return touches.groupBy(*(by or []), F.col(path).alias("path")).agg(
         F.count_distinct(commit).alias("commits"), F.sum(added).alias("added"), F.sum(removed).alias("removed"), F.min(ord_).alias("first")
     )
 
 
-def top_files(churn: DataFrame, n: int = words.TOP_FILES) -> DataFrame:
-    """The n most changed files: commits, then added lines, then first met (a report)."""
-    return churn.orderBy(F.desc("commits"), F.desc("added"), F.asc("first"), F.asc("path")).limit(n)
+def top_files(churn: DataFrame, n: int = words.TOP_FILES, by: list[str] | None = None) -> DataFrame:
+    """The n most changed files of all, or of each group with their ``place``: commits, then added lines, then first met (a report)."""
+    order = [F.desc("commits"), F.desc("added"), F.asc("first"), F.asc("path")]
+    if not by:
+        return churn.orderBy(*order).limit(n)
+    return churn.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("place") <= n)
 
 
-def hotspots(top: DataFrame, total: DataFrame) -> DataFrame:
-    """HIGH and MEDIUM files among the most changed ones; ``total`` has one row with the number of commits."""
+def hotspots(top: DataFrame, total: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """HIGH and MEDIUM files among the most changed ones; ``total`` has the number of commits, in one row or in one for each group."""
     share = F.col("commits") / F.greatest(F.col("total"), F.lit(1))
     high = (share >= words.HOT_SHARE) & (F.col("added") >= words.HOT_ADDED_WITH_SHARE) | (F.col("added") >= words.HOT_ADDED)
     level = F.when(high, "HIGH").when(F.col("commits") >= words.HOT_COMMITS, "MEDIUM")
-    return top.crossJoin(total).withColumns({"share": share, "level": level}).filter("level is not null")  # total is one row
+    met = top.join(total, by) if by else top.crossJoin(total)  # total is one row
+    return met.withColumns({"share": share, "level": level}).filter("level is not null")
 
 
-def authors(commits: DataFrame, name: str, added: Column, ord_: Column) -> DataFrame:
-    """Commits and added lines by name; null and empty names are 'unknown'."""
-    return commits.groupBy(F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit("unknown")).alias("author")).agg(
+def authors(commits: DataFrame, name: str, added: Column, ord_: Column, by: list[str] | None = None) -> DataFrame:
+    """Commits and added lines by name, and when it was met first; null and empty names are 'unknown'."""
+    return commits.groupBy(*(by or []), F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit("unknown")).alias("author")).agg(
         F.count("*").alias("commits"), F.coalesce(F.sum(added), F.lit(0)).alias("added"), F.min(ord_).alias("first")
     )
 
@@ -90,9 +94,16 @@ def first_seen(items: DataFrame, by: list[str], item: str, when: str) -> DataFra
 
 
 def month_ends(rows: DataFrame, by: list[str], month: str, ord_: list[str]) -> DataFrame:
-    """The rows after which the month changes, and the last one."""
-    after = F.lead(month).over(Window.partitionBy(*by).orderBy(*ord_))
-    return rows.withColumn("next_month", after).filter(F.col("next_month").isNull() | (F.col("next_month") != F.col(month))).drop("next_month")
+    """The rows after which the month changes, and the last one, of groups in the order of ``ord_``.
+
+    The months must rise with the order, as beginnings of its first column do;
+    then these are the last rows of the months, which an aggregation finds
+    without bringing a group's rows together.  Rows without a month have their
+    last row too.
+    """
+    rest = [c for c in rows.columns if c not in (*by, month)]
+    last = rows.groupBy(*by, month).agg(F.max(F.struct(*(F.col(c).alias(f"_o{i}") for i, c in enumerate(ord_)), *rest)).alias("_r"))
+    return last.select(*by, month, *(F.col("_r")[c].alias(c) for c in rest))
 
 
 def added_since(rows: DataFrame, by: list[str], order: str, items: str) -> DataFrame:

@@ -36,7 +36,7 @@ def layer_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def cycles(edges: DataFrame, rounds: int = 100_000) -> DataFrame:
+def cycles(edges: DataFrame) -> DataFrame:
     """(node, component): strongly connected components of more than one node, named by their least node.
 
     Colouring: nodes that can't be in a cycle are trimmed, the greatest node of
@@ -47,7 +47,7 @@ def cycles(edges: DataFrame, rounds: int = 100_000) -> DataFrame:
     """
     rest = materialize(edges.select("source", "target").filter("source != target and source is not null and target is not null").distinct(), "edges")
     found = None
-    for _ in range(rounds):
+    while True:  # each round finds the components of its colours, until no edge is left
         while True:  # trim
             inner = rest.join(rest.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(
                 rest.select(F.col("source").alias("target")).distinct(), "target", "left_semi"

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +24,8 @@ from repolith.storage import materialize
 #: Most snapshots of one entity that a single task sweeps; beyond it, an entity's
 #: valid time is cut into ranges.
 ROWS_PER_SWEEP = 200_000
+#: Cuts of valid time that the sketch of an entity gives; it has at most so many ranges.
+QUANTILES = 1024
 
 
 def sweep(rows: Iterable[tuple]) -> Iterator[tuple]:
@@ -69,21 +70,26 @@ def sweep(rows: Iterable[tuple]) -> Iterator[tuple]:
         yield state, v, to, since, None
 
 
-def _ranges(events: DataFrame, parts: int, rows_per_sweep: int) -> DataFrame:
-    """Number the valid-time range of each event; entities within the limit have one.
+def _ranges(events: DataFrame, hot: DataFrame, rows_per_sweep: int) -> DataFrame:
+    """Number the valid-time range of each event; only the entities in ``hot`` (key, n) have more than one.
 
-    The cuts of a hot entity are quantiles from a mergeable sketch, so no task
-    ever holds an entity's rows to find them.
+    The cuts of a hot entity are quantiles from a mergeable sketch over its own
+    rows, so no task ever holds an entity's rows to find them.  The sketch gives
+    ``QUANTILES`` cuts whatever the size of the table; an entity takes every
+    so-manieth of them, as its own size asks for.
     """
-    cuts = [i / parts for i in range(1, parts)]
-    hot = (
-        events.groupBy("key")
-        .agg(F.count("*").alias("n"), F.percentile_approx(F.unix_micros("valid"), cuts, F.lit(1000)).alias("cuts"))
-        .filter(F.col("n") > rows_per_sweep)
-        .select("key", F.array_distinct("cuts").alias("cuts"))
+    cuts = [i / QUANTILES for i in range(1, QUANTILES)]
+    parts = F.least(F.ceil(F.col("n") / rows_per_sweep), F.lit(QUANTILES))
+    every = F.greatest(F.lit(1), F.floor(F.lit(QUANTILES) / parts))
+    found = (
+        events.join(hot, "key")
+        .groupBy("key")
+        .agg(F.max("n").alias("n"), F.percentile_approx(F.unix_micros("valid"), cuts, F.lit(4 * QUANTILES)).alias("cuts"))
+        .withColumn("every", every)
+        .select("key", F.expr("array_distinct(filter(cuts, (c, i) -> (i + 1) % every = 0))").alias("cuts"))
     )
     at = F.unix_micros("valid")
-    return events.join(hot, "key", "left").withColumn("range", F.coalesce(F.size(F.filter("cuts", lambda c: c <= at)), F.lit(0))).drop("cuts")
+    return events.join(found, "key", "left").withColumn("range", F.coalesce(F.size(F.filter("cuts", lambda c: c <= at)), F.lit(0))).drop("cuts")
 
 
 def ledger(
@@ -105,8 +111,8 @@ def ledger(
     An empty input gives an empty ledger.  Other columns, whatever their names,
     are not read.
 
-    Cost: one aggregation, one shuffle and sort on the entity, one pass.
-    Entities with more than ``rows_per_sweep`` rows are swept in ranges of valid
+    Cost: a count by entity, one aggregation, one shuffle and sort on the entity,
+    one pass.  Entities with more than ``rows_per_sweep`` rows are swept in ranges of valid
     time, in parallel; the first instants of later ranges travel to the earlier
     ones as heads.
     """
@@ -122,9 +128,10 @@ def ledger(
         .agg(F.max("state").alias("state"))
     )
     kinds = dict((f.name, f.dataType) for f in events.schema)
-    parts = ceil(df.count() / rows_per_sweep)
-    if parts > 1:
-        events = _ranges(events, parts, rows_per_sweep)
+    counts = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"))
+    hot = materialize(counts.filter(F.col("n") > rows_per_sweep), "hot")
+    if not hot.isEmpty():
+        events = _ranges(events, hot, rows_per_sweep)
         before = Window.partitionBy("key", "range").orderBy("recorded", "valid").rowsBetween(Window.unboundedPreceding, -1)
         least = F.min("valid").over(before)
         heads = (

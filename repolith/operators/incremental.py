@@ -10,7 +10,6 @@ moves the watermark.
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Callable
 
@@ -99,58 +98,117 @@ def pending(
 class Runs:
     """Runs over a source with a monotonic commit sequence, exactly once each.
 
-    ``root`` is a folder on storage that all machines share.  A run reads the
-    watermark of the last commit, fixes its upper limit, writes its output into
-    a folder of its own and then publishes one small file that names output and
-    watermark together.  Publishing fails if the file exists, so of two
-    concurrent runs one loses and changes nothing.  A run that dies before that
-    leaves only a folder that no reader looks at.
+    ``root`` is a folder on storage that all machines share, in any file system
+    that the session knows.  A run reads the watermark of the last commit, fixes
+    its upper limit, writes its output into a folder of its own and then
+    publishes one small file that names output and watermark together.
+    Publishing is a rename that fails if the name is taken, so of two concurrent
+    runs one loses and changes nothing.  A run that dies before that leaves only
+    a folder that no reader looks at, and that ``sweep`` removes.
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.removeprefix("file://").rstrip("/")
-        os.makedirs(f"{self.root}/commits", exist_ok=True)
+        self.spark, self.root = spark, root.rstrip("/")
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._files = self._path(self.root).getFileSystem(self._conf)
+        for folder in ("commits", "output"):
+            self._files.mkdirs(self._path(f"{self.root}/{folder}"))
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(name)
+
+    def _names(self, folder: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._files.listStatus(self._path(f"{self.root}/{folder}")))
+
+    def _numbers(self) -> list[str]:
+        return [n for n in self._names("commits") if n.endswith(".json") and not n.startswith(".")]
+
+    def _commit(self, name: str) -> dict:
+        stream = self._files.open(self._path(f"{self.root}/commits/{name}"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def commits(self) -> list[dict]:
         """The commits so far, in order (one small file each)."""
-        names = sorted(n for n in os.listdir(f"{self.root}/commits") if n.endswith(".json"))
-        return [json.load(open(f"{self.root}/commits/{n}")) for n in names]
+        return [self._commit(n) for n in self._numbers()]
 
-    def run(self, source: DataFrame, sequence: str, work: Callable[[DataFrame], DataFrame], before_commit: Callable[[], None] | None = None) -> dict | None:
+    def last(self) -> dict | None:
+        """The last commit; only its file is read."""
+        names = self._numbers()
+        return self._commit(names[-1]) if names else None
+
+    def _publish(self, number: int, commit: dict) -> None:
+        staged = self._path(f"{self.root}/commits/.{uuid.uuid4().hex}")
+        stream = self._files.create(staged, False)
+        try:
+            stream.write(bytearray(json.dumps(commit).encode()))
+            stream.hsync()
+        finally:
+            stream.close()
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(staged.toUri(), self._conf)
+        try:
+            context.rename(staged, self._path(f"{self.root}/commits/{number:012d}.json"), options)  # does not overwrite
+        except Exception as e:
+            self._files.delete(staged, False)
+            raise FileExistsError(f"another run has published commit {number}") from e
+
+    def run(
+        self,
+        source: DataFrame,
+        sequence: str,
+        work: Callable[[DataFrame, DataFrame], DataFrame],
+        before_commit: Callable[[], None] | None = None,
+        unplaced: bool = False,
+    ) -> dict | None:
         """Process the rows with watermark < ``sequence`` <= the limit fixed now.
 
-        Gives the commit, or None where nothing is new.  Rows whose sequence is
-        null have no place in it and raise an error instead of being skipped.
+        ``work`` gets these rows, and all rows up to the limit for work that
+        compares with what was known before; it gives the output.  Rows that
+        come while the run is on its way wait for the next one.  Gives the
+        commit, or None where nothing is new.
+
+        A row that turns up at or below the watermark later than the run that
+        set it, and a row whose sequence is null, have no place in the sequence:
+        both raise an error instead of being skipped.  With ``unplaced`` rows of
+        null sequence are part of every run instead, for work that may repeat.
         """
-        past = self.commits()
-        low = past[-1]["watermark"] if past else None
-        bounds = source.agg(F.max(sequence).cast("string").alias("high"), F.count_if(F.col(sequence).isNull()).alias("lost")).first()
-        if bounds["lost"]:
-            raise ValueError(f"{bounds['lost']} rows without {sequence}")
+        number = len(self._numbers())
+        past = self.last()
+        low = past["watermark"] if past else None
         kind = source.schema[sequence].dataType
+        at = F.col(sequence)
+        before = F.count_if(at <= F.lit(low).cast(kind)) if past else F.lit(0).cast("long")
+        bounds = source.agg(F.max(at).cast("string").alias("high"), F.count_if(at.isNull()).alias("lost"), F.count(at).alias("rows"), before.alias("before")).first()
+        if bounds["lost"] and not unplaced:
+            raise ValueError(f"{bounds['lost']} rows without {sequence}")
+        if past and bounds["before"] != past["rows"]:
+            raise ValueError(f"{bounds['before'] - past['rows']} rows came behind the watermark {low}")
         high = bounds["high"]
-        if high is None or high == low:
+        if high is None and not (unplaced and bounds["lost"]) or high == low and past:
             return None
-        new = source.filter(F.col(sequence) <= F.lit(high).cast(kind))
-        if low is not None:
-            new = new.filter(F.col(sequence) > F.lit(low).cast(kind))
-        output = f"{self.root}/output/{uuid.uuid4().hex}"
-        work(new).write.parquet(f"file://{output}")
+        limit = at <= F.lit(high).cast(kind)
+        until = source.filter(at.isNull() | limit) if unplaced else source.filter(limit)
+        new = until.filter(at.isNull() | (at > F.lit(low).cast(kind))) if past else until
+        output = f"output/{uuid.uuid4().hex}"
+        work(new, until).write.parquet(f"{self.root}/{output}")
         if before_commit:
             before_commit()
-        commit = {"number": len(past), "low": low, "watermark": high, "output": output}
-        staged = f"{self.root}/commits/.{uuid.uuid4().hex}"
-        with open(staged, "w") as f:
-            json.dump(commit, f)
-            f.flush()
-            os.fsync(f.fileno())
-        try:
-            os.link(staged, f"{self.root}/commits/{len(past):012d}.json")  # atomic, and fails if another run was first
-        finally:
-            os.unlink(staged)
+        commit = {"number": number, "low": low, "watermark": high, "rows": bounds["rows"], "output": output}
+        self._publish(number, commit)
         return commit
 
+    def sweep(self) -> int:
+        """Remove outputs and staged files of runs that died, and give their number.  Not while a run is on its way."""
+        named = {c["output"].rpartition("/")[2] for c in self.commits()}
+        dead = [f"output/{n}" for n in self._names("output") if n not in named] + [f"commits/{n}" for n in self._names("commits") if n.startswith(".")]
+        for name in dead:
+            self._files.delete(self._path(f"{self.root}/{name}"), True)
+        return len(dead)
+
     def read(self) -> DataFrame | None:
         """Everything committed so far; None before the first commit."""
-        outputs = [f"file://{c['output']}" for c in self.commits()]
+        outputs = [f"{self.root}/{c['output']}" for c in self.commits()]
         return self.spark.read.parquet(*outputs) if outputs else None

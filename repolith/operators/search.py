@@ -43,6 +43,25 @@ def match_any(df: DataFrame, text: Column, phrases: list[str]) -> DataFrame:
     return df.filter(F.coalesce(keep, F.lit(False)))
 
 
+def match_postings(index: DataFrame, doc: str, phrases: list[str]) -> DataFrame:
+    """(doc) of the documents in which one of the phrases stands as consecutive tokens, from their postings.
+
+    Only the postings of the phrases' tokens are read; a phrase stands where all
+    of its tokens agree on the place of its first.  Phrases are few, and their
+    tokens come as a broadcast table.  A phrase without tokens matches nothing.
+    """
+    spark = index.sparkSession
+    wanted = [unicodedata.normalize("NFC", p) for p in phrases]
+    split = spark.createDataFrame([(i, p) for i, p in enumerate(wanted)], "phrase int, text string").select("phrase", F.size(tokens(F.col("text"))).alias("size"), F.posexplode(tokens(F.col("text"))).alias("at", "token"))
+    hit = index.join(F.broadcast(split), "token").groupBy(doc, "phrase", "size", (F.col("pos") - F.col("at")).alias("start")).agg(F.count_distinct("at").alias("n"))
+    return hit.filter("n = size").select(doc).distinct()
+
+
+def match_expression(terms: list[str]) -> str:
+    """The terms as one expression: each a quoted phrase without quotes of its own, any of them."""
+    return " OR ".join(f'"{t}"' for t in (x.replace('"', "").strip() for x in terms) if t)
+
+
 def query_terms(question: Column) -> Column:
     """Up to eight distinct terms of a question: Latin words, and ideographs left after stopwords are taken out."""
     stop = sorted((w for w in words.QUESTION_STOPWORDS if not w.isascii()), key=lambda w: (-len(w), w))

@@ -25,15 +25,12 @@ def evolution(log: DataFrame, top: int = words.TOP_FILES) -> DataFrame:
         return df.groupBy("repo").agg(F.transform(F.sort_array(F.collect_list(key)), lambda s: s["v"]).alias(name))
 
     trend = activity.weekly_trend(commits, instant("at"), F.col("added"), F.col("removed"), ["repo"])
-    churn = log.filter("path is not null").groupBy("repo", "path").agg(F.count_distinct("sha").alias("commits"), F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.min("ord").alias("first"))
-    order = [F.desc("commits"), F.desc("added"), F.asc("first"), F.asc("path")]
-    best = churn.withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy(*order))).filter(F.col("place") <= top)
-    names = commits.groupBy("repo", F.coalesce(F.nullif("author", F.lit("")), F.lit("unknown")).alias("author")).agg(F.count("*").alias("commits"), F.coalesce(F.sum("added"), F.lit(0)).alias("added"), F.min("ord").alias("first"))
-    share = F.col("commits") / F.greatest(F.col("total"), F.lit(1))
-    high = (share >= words.HOT_SHARE) & (F.col("added") >= words.HOT_ADDED_WITH_SHARE) | (F.col("added") >= words.HOT_ADDED)
-    hot = best.join(total, "repo").withColumn("level", F.when(high, "HIGH").when(F.col("commits") >= words.HOT_COMMITS, "MEDIUM")).filter("level is not null")
+    churn = activity.file_churn(log.filter("path is not null"), "path", "sha", "added", "removed", "ord", ["repo"])
+    best = activity.top_files(churn, top, ["repo"])
+    names = activity.authors(commits, "author", F.col("added"), F.col("ord"), ["repo"])
+    hot = activity.hotspots(best, total, ["repo"])
     evidence = F.array(
-        F.format_string("commits: %d", "commits"), F.format_string("added: %d", "added"), F.format_string("removed: %d", "removed"), F.format_string("share: %d%%", F.bround(100 * share, 0).cast("long"))
+        F.format_string("commits: %d", "commits"), F.format_string("added: %d", "added"), F.format_string("removed: %d", "removed"), F.format_string("share: %d%%", F.bround(100 * F.col("share"), 0).cast("long"))
     )
     made = total
     for part in (
@@ -46,6 +43,11 @@ def evolution(log: DataFrame, top: int = words.TOP_FILES) -> DataFrame:
     return made
 
 
+def git_facts(log: DataFrame) -> DataFrame:
+    """First and last date, commits, contributors and commits by month of each working copy's history."""
+    return activity.summary(commits_of(log), ["repo"], "at", "email")
+
+
 def signals(log: DataFrame, manifests: DataFrame, months: int | None = None, most: int = words.MAX_COMMITS) -> DataFrame:
     """(repo, month, commits, contributors, new_dirs, deps_added, top_terms, truncated): the oldest ``most`` commits by month."""
     commits = commits_of(log)

@@ -17,6 +17,10 @@ from repolith.storage import table
 from repolith.streaming import activity as streaming
 
 
+#: Paths of files that texts mention.
+PATH = r"(?:[A-Za-z0-9_-]+/)+[A-Za-z0-9_.-]*[A-Za-z0-9_-]\.[A-Za-z]{1,4}"
+
+
 def docs_of(spark: SparkSession, d: str) -> DataFrame:
     """(repo, path, lang, size, loc, text) of the documents with text."""
     path = F.concat_ws("/", F.lower(F.trim("source")), F.col("doc_id").cast("string"))
@@ -26,7 +30,7 @@ def docs_of(spark: SparkSession, d: str) -> DataFrame:
 
 def mentioned(spark: SparkSession, d: str) -> DataFrame:
     """(repo, path, lang): distinct paths of source files that documents mention."""
-    found = F.explode(F.regexp_extract_all("text", F.lit(r"[a-z]+/[a-z_]+\.[a-z]{1,4}"), F.lit(0)))
+    found = F.explode(F.regexp_extract_all("text", F.lit(PATH), F.lit(0)))
     rows = docs_of(spark, d).select("repo", found.alias("path")).distinct()
     return rows.withColumn("lang", paths.code_language(paths.extension(F.col("path"))))
 
@@ -48,10 +52,6 @@ def lang_share(spark, d):
     return files.language_stats(docs_of(spark, d), [], "lang", F.col("loc")).orderBy(F.desc("loc"), "name")
 
 
-def top_dirs(spark, d):
-    return files.top_dirs(docs_of(spark, d), ["repo"])
-
-
 def size_totals(spark, d):
     return docs_of(spark, d).agg(F.count("*").alias("total_files"), F.sum(F.when(F.col("lang").isNotNull(), F.col("loc"))).alias("total_loc"), F.sum("size").alias("chars"))
 
@@ -61,7 +61,9 @@ def largest_files(spark, d):
 
 
 def text_budget_prefix(spark, d):
-    return files.within_budget(docs_of(spark, d), ["repo"], ["doc_id"], "size", 5000).select("repo", "doc_id", "used")
+    """Documents of each repository within the text budget, in ranges of a thousand ids."""
+    made = files.within_budget(docs_of(spark, d), ["repo"], "doc_id", F.col("doc_id"), F.floor(F.col("doc_id") / 1000), "size")
+    return made.select("repo", "doc_id", F.col("used").cast("long").alias("used"))
 
 
 def marker_counts(spark, d):
@@ -94,37 +96,11 @@ def page_module(spark, d):
     return mentioned(spark, d).groupBy("repo", paths.module_of(F.col("path")).alias("module")).agg(F.count("*").alias("files"))
 
 
-RULES = [("tables", "|---|"), ("shell", "```sh"), ("setting", "Set "), ("question", "Who can")]
-
-
-def rule_content_exists(spark, d):
-    """Which rule's text stands in a document: a rule table of four rows is broadcast."""
-    rules = pin(spark).createDataFrame(RULES, "rule string, wanted string")
-    return docs_of(spark, d).join(F.broadcast(rules), F.contains("text", F.col("wanted"))).groupBy("repo", "rule").agg(F.count("*").alias("docs"))
-
-
-GLOBS = [("go", "*.go", 2), ("session", "*/session.*", 1), ("perf", "perf/*", 2)]
-
-
-def rule_glob_count(spark, d):
-    rules = pin(spark).createDataFrame([(n, paths.glob_regex(g), k) for n, g, k in GLOBS], "rule string, pattern string, least int")
-    hit = mentioned(spark, d).join(F.broadcast(rules), F.expr("path rlike pattern")).groupBy("repo", "rule", "least").agg(F.count("*").alias("files"))
-    return hit.filter("files >= least").select("repo", "rule", "files")
-
-
 def first_wins_merge(spark, d):
     deps = table(pin(spark), d, "dependencies").filter("repo_id is not null and name is not null").withColumn("dev", F.col("kind") == "dev")
     return declared.first_wins(deps.select("repo_id", "name", "version", "kind", "dev"), ["repo_id"], "name", ["dev", "name", "version"]).select("repo_id", "key", "name", "version", "kind")
 
 
-DEPS = [("npm", "vue", "^2.6.14"), ("npm", "vue", "3.4"), ("maven", "org.springframework.boot:spring-boot-web", "2.5.14"), ("maven", "org.springframework.boot:spring-boot", "3.2.0"), ("pip", "Django", "==2.2"), ("npm", "react", "git+https://x/16.0"), ("npm", "node", None)]
-
-
-def eol_risk(spark, d):
-    rows = pin(spark).createDataFrame(DEPS, "ecosystem string, name string, version string")
-    return rows.select("ecosystem", "name", "version", declared.end_of_life(F.col("ecosystem"), F.col("name"), F.col("version"))["risk"].alias("risk"))
-
-
 def numeric_version(spark, d):
     return table(pin(spark), d, "dependencies").select("version").distinct().withColumn("numeric", paths.numeric_version(F.col("version")))
 
@@ -143,12 +119,6 @@ def degrees(spark, d):
     return graph.degrees(nodes, links, "node")
 
 
-def layer_violations(spark, d):
-    links = links_of(spark, d).select("source", "target").distinct()
-    nodes = links.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    return graph.layer_violations(nodes.withColumn("type", paths.node_type(F.col("node"), F.lit(""))), links)
-
-
 def scc_cycles(spark, d):
     return graph.cycles(node_links(spark, d))
 
@@ -182,9 +152,8 @@ def stream_weeks(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        lang_share, top_dirs, size_totals, largest_files, text_budget_prefix, marker_counts, long_files, max_indent, ext_classify, test_evidence, exclude_globs,
-        page_module, rule_content_exists, rule_glob_count, first_wins_merge, eol_risk, numeric_version, edge_weights, cohesion, degrees, layer_violations, scc_cycles,
-        mermaid_lines, json_props, snippets, stream_weeks,
+        lang_share, size_totals, largest_files, text_budget_prefix, marker_counts, long_files, max_indent, ext_classify, test_evidence, exclude_globs,
+        page_module, first_wins_merge, numeric_version, edge_weights, cohesion, degrees, scc_cycles, mermaid_lines, json_props, snippets, stream_weeks,
     )
 }
 
@@ -192,25 +161,28 @@ DOCS = """d AS (SELECT repo_id AS repo, doc_id, concat_ws('/', lower(trim(source
   (length(text) - length(replace(text, chr(10), '')) + CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 0 ELSE 1 END)::BIGINT AS loc, text
   FROM documents WHERE text IS NOT NULL)"""
 EXT = "lower(regexp_extract(regexp_extract({}, '([^/]*)$', 1), '^.+\\.([^.]*)$', 1))"
-CASE_LANG = "CASE {} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tables.CODE.items()) + " END"
-CASE_DATA = "CASE {} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tables.DATA.items()) + " END"
-PATHS = DOCS + f""", p0 AS (SELECT DISTINCT repo, unnest(regexp_extract_all(text, '[a-z]+/[a-z_]+\\.[a-z]{{1,4}}')) AS path FROM d),
+CASE_LANG = """CASE WHEN {0} IN ('py', 'pyi', 'pyw') THEN 'python' WHEN {0} IN ('js', 'mjs', 'cjs', 'jsx') THEN 'javascript' WHEN {0} IN ('ts', 'mts', 'cts', 'tsx') THEN 'typescript'
+  WHEN {0} IN ('vue', 'svelte', 'go', 'java', 'php', 'c', 'swift', 'scala', 'css', 'less', 'sql', 'r', 'dart', 'lua', 'zig') THEN {0} WHEN {0} = 'rs' THEN 'rust' WHEN {0} IN ('kt', 'kts') THEN 'kotlin'
+  WHEN {0} = 'rb' THEN 'ruby' WHEN {0} = 'h' THEN 'c' WHEN {0} IN ('cpp', 'cc', 'cxx', 'hpp', 'hh') THEN 'cpp' WHEN {0} = 'cs' THEN 'csharp' WHEN {0} IN ('sh', 'bash', 'zsh') THEN 'shell'
+  WHEN {0} IN ('ps1', 'psm1') THEN 'powershell' WHEN {0} IN ('bat', 'cmd') THEN 'batch' WHEN {0} IN ('html', 'htm') THEN 'html' WHEN {0} IN ('scss', 'sass') THEN 'scss' WHEN {0} = 'sol' THEN 'solidity' END"""
+CASE_DATA = """CASE WHEN {0} IN ('json', 'jsonc') THEN 'json' WHEN {0} IN ('yaml', 'yml') THEN 'yaml' WHEN {0} IN ('toml', 'xml', 'rst', 'csv') THEN {0} WHEN {0} IN ('ini', 'cfg') THEN 'ini'
+  WHEN {0} IN ('md', 'markdown') THEN 'markdown' WHEN {0} = 'txt' THEN 'text' WHEN {0} = 'env' THEN 'dotenv' WHEN {0} = 'proto' THEN 'protobuf' WHEN {0} IN ('graphql', 'gql') THEN 'graphql' END"""
+IGNORED = """['node_modules', 'vendor', 'dist', 'build', 'out', 'target', '.git', '.venv', 'venv', 'env', '__pycache__', '.pytest_cache', '.ruff_cache', '.mypy_cache', 'coverage', 'htmlcov',
+  '.next', '.nuxt', '.cache', '.idea', '.vscode', '.tox', 'site-packages', '.eggs']"""
+PATHS = DOCS + f""", p0 AS (SELECT DISTINCT repo, unnest(regexp_extract_all(text, '{PATH}')) AS path FROM d),
 p1 AS (SELECT *, {EXT.format('path')} AS ext FROM p0), p AS (SELECT *, {CASE_LANG.format('ext')} AS lang, {CASE_DATA.format('ext')} AS data FROM p1)"""
 LINKS = DOCS + """, l0 AS (SELECT repo, unnest(regexp_extract_all(text, 'Module ([a-z]+ depends on [a-z]+)', 1)) AS s FROM d),
 l AS (SELECT repo, split_part(s, ' ', 1) AS source, split_part(s, ' ', 4) AS target FROM l0)"""
 NODES = "u AS (SELECT DISTINCT source, target FROM l), n AS (SELECT source AS node FROM u UNION SELECT target FROM u)"
-TYPE = "CASE " + " ".join("WHEN " + " OR ".join(f"contains({{0}}, '{w}')" for w in ws) + f" THEN '{k}'" for k, ws in tables.NODE_TYPES) + " ELSE 'OTHER' END"
 IS_TEST = "(regexp_matches(path, '^tests?/') OR contains(path, '/tests/') OR regexp_matches(path, '(^|/)(test_[^/]*\\.py|[^/]*_test\\.py|[^/]*_test\\.go|[^/]*\\.test\\.[^/]*|[^/]*\\.spec\\.[^/]*)$'))"
-VALUES = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in DEPS)
 
 SQL = {
     "lang_share": f"""WITH {DOCS}, c AS (SELECT lang AS name, count(*) AS files, sum(loc)::BIGINT AS loc FROM d WHERE lang IS NOT NULL GROUP BY 1)
 SELECT name, files, loc, round_even(100.0 * loc / sum(loc) OVER (), 1)::DOUBLE AS pct FROM c""",
-    "top_dirs": f"""WITH {DOCS} SELECT repo, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '(root)' END AS dir, count(*) AS files, NULL::VARCHAR AS role FROM d GROUP BY ALL""",
     "size_totals": f"WITH {DOCS} SELECT count(*) AS total_files, sum(CASE WHEN lang IS NOT NULL THEN loc END)::BIGINT AS total_loc, sum(size)::BIGINT AS chars FROM d",
     "largest_files": f"""WITH {DOCS} SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY loc DESC, path)::INT AS place, path, loc FROM d WHERE lang IS NOT NULL QUALIFY place <= 5""",
     "text_budget_prefix": f"""WITH {DOCS}, b AS (SELECT repo, doc_id, coalesce(sum(size) OVER (PARTITION BY repo ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used FROM d)
-SELECT * FROM b WHERE used < 5000""",
+SELECT * FROM b WHERE used < 16000000""",
     "marker_counts": f"""WITH {DOCS} SELECT lang, {', '.join(f"sum((length(text) - length(replace(text, '{m}', ''))) // {len(m)})::BIGINT AS {n}" for m, n in (('TODO', 'todo'), ('FIXME', 'fixme'), ('snapshot', 'snapshot'), ('```', 'fences')))} FROM d GROUP BY lang""",
     "long_files": f"WITH {DOCS} SELECT doc_id, 'long-file loc=' || loc AS signal FROM d WHERE loc >= 400",
     "max_indent": f"""WITH {DOCS}, l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r\\n|\\n|\\r')) AS line, generate_subscripts(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), 1) AS n FROM d),
@@ -219,24 +191,16 @@ SELECT d.doc_id, coalesce((array_agg(w ORDER BY n) FILTER (w >= 24))[1], max(w),
     "ext_classify": f"WITH {PATHS} SELECT ext, lang, data, count(*) AS files FROM p GROUP BY ALL",
     "test_evidence": f"""WITH {PATHS}, t AS (SELECT repo, count(*) AS c, count_if({IS_TEST}) AS t FROM p WHERE lang IS NOT NULL GROUP BY ALL)
 SELECT repo, t AS test_files, CASE WHEN t > 0 THEN round_even(t / c, 2) END AS ratio FROM t""",
-    "exclude_globs": f"""WITH {PATHS} SELECT DISTINCT path FROM p WHERE NOT (split_part(path, '/', 1) IN ({', '.join(f"'{x}'" for x in tables.IGNORED_DIRS)})
-  OR regexp_matches(path, '(_gen\\.go|\\.min\\.js|\\.min\\.css|\\.map|\\.lock|\\.pb\\.go)$') OR contains(path, '.generated.') OR starts_with(path, 'docs/') OR path = 'search/session.go')""",
+    "exclude_globs": f"""WITH {PATHS} SELECT DISTINCT path FROM p WHERE NOT (list_has_any(string_split(path, '/')[1:-2], {IGNORED})
+  OR regexp_matches(path, '(_gen\\.go|\\.min\\.js|\\.min\\.css|\\.map|\\.lock|\\.pb\\.go)$|(^|/)package-lock\\.json$|(^|/)pnpm-lock\\.yaml$') OR contains(path, '.generated.')
+  OR starts_with(path, 'docs/') OR list_contains(string_split(path, '/')[1:-2], 'docs') OR path = 'search/session.go')""",
     "page_module": f"WITH {PATHS} SELECT repo, split_part(path, '/', 1) AS module, count(*) AS files FROM p GROUP BY ALL",
-    "rule_content_exists": f"""WITH {DOCS}, r(rule, wanted) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in RULES)})
-SELECT repo, rule, count(*) AS docs FROM d JOIN r ON contains(text, wanted) GROUP BY ALL""",
-    "rule_glob_count": f"""WITH {PATHS}, r(rule, pat, least) AS (VALUES {', '.join(f"('{a}', '{b}', {c})" for a, b, c in GLOBS)})
-SELECT repo, rule, count(*) AS files FROM p JOIN r ON path GLOB pat GROUP BY repo, rule, least HAVING count(*) >= least""",
     "first_wins_merge": """SELECT repo_id, lower(name) AS key, name, version, kind FROM dependencies WHERE repo_id IS NOT NULL AND name IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY repo_id, lower(name) ORDER BY kind = 'dev', name, version NULLS FIRST, kind) = 1""",
-    "eol_risk": f"""WITH v(ecosystem, name, version) AS (VALUES {VALUES}), n AS (SELECT *, CASE WHEN NOT regexp_matches(version, '^(git\\+|github:|file:|http:|https:)') THEN nullif(regexp_extract(version, '[0-9]+(?:\\.[0-9]+)*'), '') END AS x FROM v)
-SELECT ecosystem, name, version, CASE {' '.join(f"WHEN ecosystem = '{e}' AND {'starts_with(name, ' if p else 'lower(name) = lower('}'{n}') AND starts_with(x, '{s}') THEN '{k}'" for e, n, p, s, k, _ in tables.END_OF_LIFE)} END AS risk FROM n""",
     "numeric_version": """SELECT DISTINCT version, CASE WHEN NOT regexp_matches(trim(version, ' '), '^(git\\+|github:|file:|http:|https:)') THEN nullif(regexp_extract(trim(version, ' '), '[0-9]+(?:\\.[0-9]+)*'), '') END AS numeric FROM dependencies""",
     "edge_weights": f"WITH {LINKS} SELECT repo, source, target, count(*) AS weight FROM l WHERE source <> target GROUP BY ALL",
     "cohesion": f"WITH {LINKS} SELECT source AS node, round_even(count_if(source = target) / count(*), 2) AS cohesion FROM l GROUP BY source",
     "degrees": f"""WITH {LINKS}, {NODES} SELECT node, (SELECT count(*) FROM u WHERE target = node) AS in_degree, (SELECT count(*) FROM u WHERE source = node) AS out_degree FROM n""",
-    "layer_violations": f"""WITH {LINKS}, {NODES}, t AS (SELECT node, {TYPE.format('node')} AS type FROM n),
-r(a, b, severity) AS (VALUES {', '.join(str(x) for x in tables.LAYER_RULES)})
-SELECT source, target, x.type AS source_type, y.type AS target_type, severity FROM u JOIN t x ON x.node = source JOIN t y ON y.node = target JOIN r ON a = x.type AND b = y.type""",
     "scc_cycles": f"""WITH RECURSIVE {LINKS}, e AS (SELECT DISTINCT repo || '|' || source AS s, repo || '|' || target AS t FROM l WHERE repo IS NOT NULL AND source <> target),
 r(s, t) AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON r.t = e.s),
 m AS (SELECT x.s AS node, least(x.s, min(x.t)) AS component FROM r x JOIN r y ON x.s = y.t AND x.t = y.s WHERE x.s <> x.t GROUP BY x.s)

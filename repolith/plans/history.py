@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from repolith.functions.time import instant, month_key
@@ -61,7 +61,7 @@ def hotspots(spark, d):
 def authors(spark, d):
     log = table(pin(spark), d, "gitlog").distinct()
     made = activity.authors(log, "authorName", F.col("linesAdded"), F.negate(F.unix_micros(instant("committedAt"))))
-    return made.select("author", "commits", "added")
+    return made.select(F.row_number().over(Window.orderBy(F.desc("commits"), "first", "author")).alias("place"), "author", "commits", "added")  # one row for each name
 
 
 def month_slices(spark, d):
@@ -82,7 +82,7 @@ def first_seen(spark, d):
 
 def month_end_lead(spark, d):
     rows = commits_of(spark, d).select("repo_id", "sha", "authored_at", month_key("authored_at").alias("month"))
-    return activity.month_ends(rows, ["repo_id"], "month", ["authored_at", "sha"]).select("repo_id", "month", "sha")
+    return activity.month_ends(rows, ["repo_id"], "month", ["authored_at", "sha"]).select("repo_id", "month", "sha")  # texts, so months rise with them
 
 
 def new_per_month(spark, d):
@@ -157,11 +157,10 @@ STOP = "(" + ", ".join(f"'{w}'" for w in words.SUBJECT_STOPWORDS) + ")"
 TERM_RE = "[a-z][a-z0-9_-]{2,}|[\\x{4e00}-\\x{9fff}]{2,}"
 BUCKETS = """b AS (SELECT * FROM signal_months WHERE repo IS NOT NULL AND month IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY repo, month ORDER BY commits DESC NULLS LAST, contributors DESC NULLS LAST, new_dirs DESC NULLS LAST, deps_added DESC NULLS LAST, top_terms DESC NULLS LAST) = 1)"""
-SIMILAR = BUCKETS + """,
-f AS (SELECT DISTINCT repo, month, 'dir:' || unnest(new_dirs) AS f, 4.0::DOUBLE AS w FROM b
-  UNION SELECT repo, month, 'dep:' || unnest(deps_added), 4.0::DOUBLE FROM b UNION SELECT repo, month, 'term:' || unnest(top_terms), 1.0::DOUBLE FROM b),
+SIMILAR_OF = """f AS (SELECT DISTINCT repo, month, 'dir:' || unnest(new_dirs) AS f, 4.0::DOUBLE AS w FROM {0}
+  UNION SELECT repo, month, 'dep:' || unnest(deps_added), 4.0::DOUBLE FROM {0} UNION SELECT repo, month, 'term:' || unnest(top_terms), 1.0::DOUBLE FROM {0}),
 q AS (SELECT repo, month, sum(w) AS q FROM f GROUP BY ALL),
-o AS (SELECT repo, month, lag(month) OVER (PARTITION BY repo ORDER BY month) AS before FROM b),
+o AS (SELECT repo, month, lag(month) OVER (PARTITION BY repo ORDER BY month) AS before FROM {0}),
 dot AS (SELECT o.repo, o.month, sum(x.w) AS d FROM o JOIN f x ON x.repo = o.repo AND x.month = o.month JOIN f y ON y.repo = o.repo AND y.month = o.before AND x.f = y.f GROUP BY ALL),
 near AS (SELECT o.repo, o.month, o.before,
     (substr(o.month, 1, 4)::INT * 12 + substr(o.month, 6, 2)::INT) - (substr(o.before, 1, 4)::INT * 12 + substr(o.before, 6, 2)::INT) > 1 AS gap,
@@ -169,6 +168,25 @@ near AS (SELECT o.repo, o.month, o.before,
   FROM o LEFT JOIN dot USING (repo, month) LEFT JOIN q x ON x.repo = o.repo AND x.month = o.month LEFT JOIN q y ON y.repo = o.repo AND y.month = o.before),
 staged AS (SELECT repo, month, (sum(CASE WHEN cosine IS NULL OR coalesce(gap, false) OR cosine < 0.6 THEN 1 ELSE 0 END)
     OVER (PARTITION BY repo ORDER BY month ROWS UNBOUNDED PRECEDING) - 1)::INT AS stage FROM near)"""
+SIMILAR = BUCKETS + ",\n" + SIMILAR_OF.format("b")
+
+LISTS = ("new_dirs", "deps_added", "top_terms")
+_ONCE = "list_filter(coalesce(o.{0}, []), lambda x, i: list_position(coalesce(o.{0}, []), x) = i)"
+_UNITED = ", ".join(f"CASE WHEN j THEN list_concat(h.{c}, list_filter({_ONCE.format(c)}, lambda x: NOT list_contains(h.{c}, x))) ELSE coalesce(o.{c}, []) END" for c in LISTS)
+_START = ", ".join(f"coalesce(o.{c}, []) AS {c}" for c in LISTS)
+#: Months in order, each folded into the bucket before where it is sparse and near; a row for each month with the bucket so far.
+MERGED = BUCKETS + f""",
+months AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY month) AS k FROM b WHERE commits > 0 AND regexp_full_match(month, '[0-9]{{4}}-(0[1-9]|1[0-2])')),
+h AS (
+  SELECT repo, k, month, commits, coalesce(contributors, 0) AS contributors, {_START}, 0 AS merged, 1 AS bucket FROM months o WHERE k = 1
+  UNION ALL
+  SELECT o.repo, o.k, CASE WHEN j THEN h.month ELSE o.month END, CASE WHEN j THEN h.commits + o.commits ELSE o.commits END,
+    CASE WHEN j THEN greatest(h.contributors, coalesce(o.contributors, 0)) ELSE coalesce(o.contributors, 0) END,
+    {_UNITED},
+    CASE WHEN j THEN h.merged + 1 ELSE 0 END, CASE WHEN j THEN h.bucket ELSE h.bucket + 1 END
+  FROM (SELECT h.*, o.commits < 2 AND (substr(o.month, 1, 4)::INT * 12 + substr(o.month, 6, 2)::INT) - (substr(h.month, 1, 4)::INT * 12 + substr(h.month, 6, 2)::INT) <= 3 AS j
+    FROM h JOIN months o ON o.repo = h.repo AND o.k = h.k + 1) h JOIN months o ON o.repo = h.repo AND o.k = h.k + 1),
+merged AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY repo, bucket ORDER BY k DESC) = 1)"""
 
 SQL = {
     "commit_summary": f"""WITH {COMMITS},
@@ -186,8 +204,9 @@ x AS (SELECT top.*, commits / greatest(n, 1) AS share FROM top, n),
 y AS (SELECT path, commits, added, CASE WHEN share >= 0.15 AND added >= 300 OR added >= 2000 THEN 'HIGH' WHEN commits >= 3 THEN 'MEDIUM' END AS level,
   round_even(100 * share, 0)::BIGINT AS share_pct FROM x)
 SELECT * FROM y WHERE level IS NOT NULL""",
-    "authors": """SELECT coalesce(nullif(authorName, ''), 'unknown') AS author, count(*) AS commits, coalesce(sum(linesAdded), 0)::BIGINT AS added
-FROM (SELECT DISTINCT * FROM gitlog) GROUP BY 1""",
+    "authors": """WITH a AS (SELECT coalesce(nullif(authorName, ''), 'unknown') AS author, count(*) AS commits, coalesce(sum(linesAdded), 0)::BIGINT AS added,
+  max(try_cast(committedAt AS TIMESTAMPTZ)) AS latest FROM (SELECT DISTINCT * FROM gitlog) GROUP BY 1)
+SELECT row_number() OVER (ORDER BY commits DESC, latest DESC NULLS FIRST, author)::INT AS place, author, commits, added FROM a""",
     "month_slices": f"""WITH {COMMITS}, m AS (SELECT *, substr(authored_at, 1, 7) AS month FROM c WHERE authored_at IS NOT NULL),
 x AS (SELECT repo_id, month, sha, regexp_extract_all(lower(message), '{TERM_RE}') AS l FROM m),
 t AS (SELECT repo_id, month, sha, l[p] AS term, p FROM (SELECT *, unnest(range(1, len(l) + 1)) AS p FROM
@@ -218,6 +237,12 @@ SELECT repo, stage, min(month) AS start_month, max(month) AS end_month, count(*)
   array_to_string(list_sort(list_distinct(flatten(list(coalesce(deps_added, []))))), ' ') AS deps,
   array_to_string(list_sort(list_distinct(flatten(list(coalesce(top_terms, [])))))[1:8], ' ') AS terms
 FROM b JOIN staged USING (repo, month) GROUP BY repo, stage""",
+    "sparse_merge": f"""WITH RECURSIVE {MERGED} SELECT repo, month, commits::BIGINT AS commits, contributors, merged::INT AS merged_months FROM merged""",
+    "repo_timeline": f"""WITH RECURSIVE {MERGED}, {SIMILAR_OF.format("merged")},
+n AS (SELECT repo, stage, count(*) AS n FROM staged GROUP BY ALL),
+w AS (SELECT repo, stage, (sum(CASE WHEN stage = 0 OR n >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY repo ORDER BY stage ROWS UNBOUNDED PRECEDING) - 1)::INT AS new_stage FROM n)
+SELECT repo, new_stage AS stage, min(month) AS start_month, max(month) AS end_month, count(*) AS months, sum(commits)::BIGINT AS commits, max(contributors) AS max_contributors
+FROM merged JOIN staged USING (repo, month) JOIN w USING (repo, stage) GROUP BY ALL""",
     "small_stage_merge": f"""WITH {SIMILAR}, n AS (SELECT repo, stage, count(*) AS n FROM staged GROUP BY ALL)
 SELECT repo, stage, (sum(CASE WHEN stage = 0 OR n >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY repo ORDER BY stage ROWS UNBOUNDED PRECEDING) - 1)::INT AS new_stage FROM n""",
 }

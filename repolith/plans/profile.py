@@ -53,7 +53,7 @@ def profile(tree: DataFrame, max_bytes: int = tables.MAX_FILE_BYTES) -> DataFram
     """
     tree = materialize(tree, "tree")
     code = materialize(files.prepared(tree, max_bytes), "files")
-    texts = files.within_budget(code.filter(F.col("lang").isin(tables.PARSED) & F.col("text").isNotNull() & ~F.col("too_big")), ["repo"], ["walk"], "size")
+    texts = files.within_budget(code.filter(F.col("lang").isin(tables.PARSED) & F.col("text").isNotNull() & ~F.col("too_big")), ["repo"], "path", F.col("walk"), F.get("walk", F.lit(0)), "size")
     texts = materialize(texts.drop("used"), "texts")
     kept = code.filter("lang is not null")
     deps = declared.declared(tree)
@@ -112,7 +112,7 @@ def lite(tree: DataFrame) -> DataFrame:
     tree = materialize(tree, "tree")
     code = materialize(files.prepared(tree, LITE_FILE_BYTES), "files")
     kept = code.filter("lang is not null")
-    texts = files.within_budget(kept.filter(F.col("text").isNotNull() & ~F.col("too_big")), ["repo"], ["walk"], "size", LITE_TEXT_BUDGET)
+    texts = files.within_budget(kept.filter(F.col("text").isNotNull() & ~F.col("too_big")), ["repo"], "path", F.col("walk"), F.get("walk", F.lit(0)), "size", LITE_TEXT_BUDGET)
     has = lambda t: F.contains("text", F.lit(t))
     python = F.col("lang") == "python"
     first = (

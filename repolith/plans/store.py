@@ -14,7 +14,6 @@ from repolith.session import pin
 from repolith.storage import table
 
 TODAY = date(2026, 8, 31)
-QUESTIONS = ["2025年 exporter 有哪些改动", "2026-03 的 scheduler", "最近30天 timeline", "帮我看看 snapshot tracker 的情况", "上半年 cache", "去年 12月", "C# 13月", ""]
 
 
 def _repo_rows(spark: SparkSession, d: str, last: bool) -> DataFrame:
@@ -35,6 +34,26 @@ def upsert_latest(spark, d):
     return store.upsert(old, new, ["id"], store.UPDATED["repos"])
 
 
+def _upserted(spark, d, name: str):
+    """A table's entities, known with the least of their rows, after the greatest of each came."""
+    rows = table(pin(spark), d, name).filter("id is not null")
+    rest = [c for c in rows.columns if c != "id"]
+    pick = lambda f: rows.groupBy("id").agg(f(F.struct(*rest)).alias("r")).select("id", "r.*")
+    return store.upsert(pick(F.min), pick(F.max), ["id"], store.UPDATED[name])
+
+
+def upsert_commits(spark, d):
+    return _upserted(spark, d, "commits")
+
+
+def upsert_issues(spark, d):
+    return _upserted(spark, d, "issues")
+
+
+def upsert_releases(spark, d):
+    return _upserted(spark, d, "releases")
+
+
 def insert_ignore(spark, d):
     old = table(pin(spark), d, "dependencies").filter("kind = 'runtime'").select("repo_id", "name").distinct()
     new = table(spark, d, "dependencies").filter("kind = 'dev'").select("repo_id", "name").distinct()
@@ -94,10 +113,22 @@ def store_counts(spark, d):
     return repos.crossJoin(commits).crossJoin(issues).crossJoin(synced).withColumn("too_few", F.col("repos") < 2)  # one row each
 
 
+def _texts(spark, d) -> DataFrame:
+    """(id, text): messages of commits, titles of issues and descriptions of repositories, each text of an id once."""
+    of = {"commits": "message", "issues": "title", "repos": "description"}
+    parts = [table(pin(spark), d, t).select("id", F.col(c).alias("text")).filter("id is not null and text is not null") for t, c in of.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+
+
 def postings(spark, d):
-    """Tokens of issue titles with their places, repeats counted."""
-    titles = table(pin(spark), d, "issues").select("id", "title").distinct()
-    return search.postings(titles, "id", "title").groupBy("token").agg(F.count("*").alias("places"), F.count_distinct("id").alias("docs"))
+    """Tokens of the three indexed texts with their places, repeats counted."""
+    return search.postings(_texts(spark, d), "id", "text").groupBy("token").agg(F.count("*").alias("places"), F.count_distinct("id").alias("docs"))
+
+
+def index_match(spark, d):
+    """Messages that hold one of two phrases, found by the postings of their tokens."""
+    texts = commits_of(spark, d).select(F.concat_ws("@", "repo_id", "sha").alias("id"), "message")
+    return search.match_postings(search.postings(texts, "id", "message"), "id", ["the scheduler", "timeline"])
 
 
 def match_any(spark, d):
@@ -138,22 +169,52 @@ def query_terms(spark, d):
 
 
 def question_ranges(spark, d):
-    rows = pin(spark).createDataFrame([(i, q) for i, q in enumerate(QUESTIONS)], "n int, question string")
-    return rows.select("n", "question", dates.range_of(F.col("question"), TODAY).alias("r")).select("n", "question", "r.first", "r.last")
+    """Ranges that questions name, made of the days of commits and the numbers of issues."""
+    day = F.regexp_extract("authored_at", "^([0-9]{4})-([0-9]{2})-", 0)
+    months = table(pin(spark), d, "commits").select(F.substring(day, 1, 4).alias("y"), F.substring(day, 6, 2).alias("m")).filter("y != ''").distinct()
+    some = table(spark, d, "issues").select(F.col("number").alias("n")).filter("n between 0 and 9999").distinct()
+    n = F.col("n").cast("string")
+    questions = (
+        months.select(F.concat("y", F.lit("-"), "m", F.lit(" 的 scheduler")).alias("question"))
+        .unionByName(months.select(F.concat("y", F.lit("年有哪些改动")).alias("question")))
+        .unionByName(months.select(F.concat(F.ltrim(F.col("m"), F.lit("0")), F.lit("月份做了什么")).alias("question")))
+        .unionByName(some.select(F.concat(F.lit("最近"), n, F.lit("天 timeline")).alias("question")))
+        .unionByName(some.select(F.concat(F.lit("近"), n, F.lit("周")).alias("question")))
+        .unionByName(some.select(F.concat(F.lit("最近"), n, F.lit("个月")).alias("question")))
+        .unionByName(some.select(F.concat(F.lit("issue "), n).alias("question")))
+        .distinct()
+    )
+    return questions.select("question", dates.range_of(F.col("question"), TODAY).alias("r")).select("question", "r.first", "r.last")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        upsert_latest, insert_ignore, upsert_coalesce, cascade_delete, entity_id_parse, entity_id_build, source_uris, content_hash, entity_lookup, adjacency,
-        store_counts, postings, match_any, phrase_match, context_blocks, recent_fallback, range_filter, query_terms, question_ranges,
+        upsert_latest, upsert_commits, upsert_issues, upsert_releases, insert_ignore, upsert_coalesce, cascade_delete, entity_id_parse, entity_id_build, source_uris, content_hash, entity_lookup, adjacency,
+        store_counts, postings, index_match, match_any, phrase_match, context_blocks, recent_fallback, range_filter, query_terms, question_ranges,
     )
 }
 
 REPO_FIELDS = "last_synced_at arrived_at full_name description primary_language stars forks is_fork is_archived visibility created_at pushed_at topics_json my_role first_synced_at".split()
 LAST = f"last AS (SELECT * FROM repos WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY {', '.join(f + ' DESC NULLS LAST' for f in REPO_FIELDS)}) = 1)"
 FIRST = f"first AS (SELECT * FROM repos WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY {', '.join(f + ' ASC NULLS FIRST' for f in REPO_FIELDS)}) = 1)"
-UPD = store.UPDATED["repos"]
+UPD = ["description", "primary_language", "stars", "forks", "is_archived", "pushed_at", "last_synced_at"]
+
+
+def _entities(name: str, fields: list[str], updated: list[str]) -> str:
+    """The first row of each id, with the fields of the last that an update replaces."""
+    order = lambda way: ", ".join(f"{f} {way}" for f in fields)
+    shown = ", ".join(f"{'b' if f in updated else 'a'}.{f} AS {f}" for f in fields)
+    return f"""WITH a AS (SELECT * FROM {name} WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY {order('ASC NULLS FIRST')}) = 1),
+b AS (SELECT * FROM {name} WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY {order('DESC NULLS LAST')}) = 1)
+SELECT a.id, {shown} FROM a JOIN b ON b.id = a.id"""
+
+
+STOPWORDS = ["什么", "哪些", "怎么", "如何", "我的", "哪个", "那些", "帮我", "最近", "在忙", "正在", "一下", "情况", "了", "在", "我", "是", "有", "的", "请"]
+STOPPED = ["the", "a", "an", "and", "or", "to", "of", "in", "for", "on", "with", *STOPWORDS]
+CLEANED = "r"
+for _w in STOPWORDS:
+    CLEANED = f"replace({CLEANED}, '{_w}', ' ')"
 TOKENS = "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}]+')"
 CONTEXT = f"""WITH {COMMITS}, {LAST},
 cc AS (SELECT repo_id || '@' || sha AS id, full_name, authored_at, message FROM c JOIN last ON last.id = c.repo_id),
@@ -202,8 +263,28 @@ n AS (SELECT DISTINCT repo_id, kind, concat_ws('@', name, version) AS x FROM d)
 SELECT repo_id, kind, any_value(entries) AS entries, string_agg(x, ' ' ORDER BY x) AS names FROM n JOIN e USING (repo_id, kind) GROUP BY repo_id, kind""",
     "store_counts": f"""WITH {COMMITS}, k AS (SELECT (SELECT count(DISTINCT id) FROM repos) AS repos, (SELECT count(*) FROM c) AS commits,
   (SELECT count(DISTINCT id) FROM issues) AS issues, (SELECT max(last_synced_at) FROM sync_state) AS last_sync) SELECT *, repos < 2 AS too_few FROM k""",
-    "postings": f"""SELECT token, count(*) AS places, count(DISTINCT id) AS docs
-FROM (SELECT id, unnest({TOKENS.format('title')}) AS token FROM (SELECT DISTINCT id, title FROM issues)) GROUP BY ALL""",
+    "postings": f"""WITH t AS (SELECT id, message AS text FROM commits UNION SELECT id, title FROM issues UNION SELECT id, description FROM repos)
+SELECT token, count(*) AS places, count(DISTINCT id) AS docs
+FROM (SELECT id, unnest({TOKENS.format('text')}) AS token FROM t WHERE id IS NOT NULL) GROUP BY ALL""",
+    "index_match": f"WITH {COMMITS} SELECT DISTINCT repo_id || '@' || sha AS id FROM c WHERE {_has('message', 'the scheduler', 'timeline')}",
+    "upsert_commits": _entities("commits", ["repo_id", "sha", "authored_at", "author_email", "message", "additions", "deletions", "files_changed", "is_my_commit"], ["authored_at"]),
+    "upsert_issues": _entities("issues", ["repo_id", "number", "title", "state", "is_pr", "labels_json", "opened_at", "closed_at"], ["title", "state", "labels_json", "closed_at"]),
+    "upsert_releases": _entities("releases", ["repo_id", "tag_name", "name", "published_at", "notes"], ["name", "published_at", "notes"]),
+    "query_terms": f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{{1,}}|[\\x{{4e00}}-\\x{{9fff}}]{{2,}}') AS raw FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, flatten(list_transform(raw, lambda r: CASE WHEN regexp_matches(r, '^[a-z]') THEN [regexp_replace(r, '^[_-]+|[_-]+$', '', 'g')] ELSE string_split_regex(trim({CLEANED}, ' '), ' +') END)) AS l FROM t),
+k AS (SELECT doc_id, list_filter(l, lambda x: length(x) >= 2 AND x NOT IN ({', '.join(f"'{w}'" for w in STOPPED)})) AS l FROM p)
+SELECT doc_id, coalesce(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:8], ' '), '') AS terms FROM k""",
+    "question_ranges": """WITH c AS (SELECT DISTINCT substr(authored_at, 1, 4) AS y, substr(authored_at, 6, 2) AS m FROM commits WHERE regexp_matches(authored_at, '^[0-9]{4}-[0-9]{2}-')),
+n AS (SELECT DISTINCT number::INT AS n FROM issues WHERE number BETWEEN 0 AND 9999), d AS (SELECT DATE '2026-08-31' AS d),
+q AS (
+  SELECT y || '-' || m || ' 的 scheduler' AS question, make_date(y::INT, m::INT, 1) AS a, last_day(make_date(y::INT, m::INT, 1)) AS b FROM c
+  UNION SELECT y || '年有哪些改动', make_date(y::INT, 1, 1), make_date(y::INT, 12, 31) FROM c
+  UNION SELECT ltrim(m, '0') || '月份做了什么', make_date(2026, m::INT, 1), last_day(make_date(2026, m::INT, 1)) FROM c
+  UNION SELECT '最近' || n || '天 timeline', d - n, d FROM n, d
+  UNION SELECT '近' || n || '周', d - 7 * n, d FROM n, d
+  UNION SELECT '最近' || n || '个月', (d - to_months(n))::DATE, d FROM n, d
+  UNION SELECT 'issue ' || n, NULL, NULL FROM n)
+SELECT question, strftime(a, '%Y-%m-%d') AS first, strftime(b, '%Y-%m-%d') AS last FROM q""",
     "match_any": f"SELECT DISTINCT id, title FROM issues WHERE {_has('title', 'scheduler', 'first start')}",
     "phrase_match": f"SELECT doc_id FROM documents WHERE {_has('text', 'root folder', '开始')}",
     "context_blocks": _MATCH + _END,

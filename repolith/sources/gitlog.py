@@ -84,6 +84,20 @@ def head(root: str) -> dict:
     return {"head_branch": branch and branch.strip(), "branch_count": count(branches), "tag_count": count(tags)}
 
 
+def vcs(root: str) -> dict:
+    """Kind, address and worktree of a working copy: ``.git`` may be a folder, or a file that points elsewhere."""
+    at = os.path.join(root, ".git")
+    pointer = None
+    if os.path.isfile(at):
+        with open(at, encoding="utf-8", errors="replace") as f:
+            kind, _, where = f.read().strip().partition(":")
+        pointer = where.strip() if kind == "gitdir" else None
+    if not os.path.isdir(at) and pointer is None:
+        return {"kind": None, "remote": None, "worktree": False}
+    remote = git(root, "remote", "get-url", "origin")
+    return {"kind": "git", "remote": remote.strip() if remote and remote.strip() else None, "worktree": pointer is not None and "/worktrees/" in pointer.replace("\\", "/")}
+
+
 MANIFESTS = ["go.mod", "package.json", "pyproject.toml", "requirements.txt"]
 
 

@@ -52,7 +52,7 @@ def test_signals_and_timeline(spark, copy, tmp_path):
 
 def test_scan_and_graph(spark, traders):
     doc = cli.scan(spark, traders)
-    assert doc["git"] is None and len(doc["modules"]) == 8
+    assert doc["git"] is None and len(doc["modules"]) == 8 and doc["warnings"][-1]["code"] == "GIT_META_UNAVAILABLE"
     lines = cli.module_graph(spark, traders, "mermaid").split("\n")
     assert lines[0] == "flowchart LR" and len(lines) == 16
 
@@ -72,4 +72,18 @@ def test_replies():
     assert ask(id=1, method="tools/call", params={"name": "bad"})["error"]["code"] == -32602
     assert json.loads(ask(id=1, method="tools/call", params={"name": "echo", "arguments": {"a": 1}})["result"]["content"][0]["text"]) == {"a": 1}
     assert ask(method="tools/list") is None and len(ask(id=2, method="tools/list")["result"]["tools"]) == 2
+    assert ask(id=3, method="ping")["result"] == {} and ask(id=4, method="initialize")["result"]["capabilities"] == {"tools": {}}
+    assert ask(id=5, method="initialize", params={"protocolVersion": "x"})["result"]["protocolVersion"] == "x" and ask(method="notifications/initialized") is None
+    listed = cli.answer(json.dumps({"id": 6, "method": "tools/list"}), {"repo_scan": None})["result"]["tools"]
+    assert listed[0]["inputSchema"]["required"] == ["path"]
+    assert "needs path" in cli.answer(json.dumps({"id": 7, "method": "tools/call", "params": {"name": "repo_scan"}}), {"repo_scan": None})["error"]["message"]
     assert cli.main(["scan", "/no/such/folder"]) == 2
+
+
+def test_history_in_scan(spark, copy):
+    doc = cli.scan(spark, copy, "lite")
+    assert (doc["git"]["commitCount"], doc["git"]["contributorCount"], doc["git"]["activityByMonth"]) == (2, 1, {"2026-06": 1, "2026-08": 1})
+    assert doc["vcs"] == {"kind": "git", "remote": None, "worktree": False} and cli.scan(spark, copy, "lite", skip_git=True)["git"] is None
+    text = cli.scan_summary(doc)
+    assert text.startswith("files: 3,") and "2 commits, 1 people" in text
+    assert cli.signals_summary(cli.signals(spark, copy)).split("\n")[1].startswith("2026-08  1 commits, 1 people; new: web, vue; parser")

@@ -113,24 +113,53 @@ def test_runs_survive_failures(spark, tmp_path):
     root = str(tmp_path / "runs")
     source = lambda n: spark.range(n).withColumnRenamed("id", "seq")
     runs = incremental.Runs(spark, root)
-    assert runs.run(source(0), "seq", lambda d: d) is None and runs.read() is None
-    assert runs.run(source(10), "seq", lambda d: d)["watermark"] == "9"
-    assert runs.run(source(10), "seq", lambda d: d) is None
+    assert runs.run(source(0), "seq", lambda d, _: d) is None and runs.read() is None
+    assert runs.run(source(10), "seq", lambda d, _: d)["watermark"] == "9"
+    assert runs.run(source(10), "seq", lambda d, _: d) is None
 
     def die():
         raise RuntimeError("lost")
 
     with pytest.raises(RuntimeError):
-        runs.run(source(25), "seq", lambda d: d, before_commit=die)
+        runs.run(source(25), "seq", lambda d, _: d, before_commit=die)
     assert sorted(r["seq"] for r in runs.read().collect()) == list(range(10))
     # rows that come while a run is on the way wait: the limit was fixed at its start
     other = incremental.Runs(spark, root)
-    made = runs.run(source(25), "seq", lambda d: d)
+    made = runs.run(source(25), "seq", lambda d, _: d)
     assert (made["low"], made["watermark"]) == ("9", "24")
     # of two runs from one state only one commits
     with pytest.raises(FileExistsError):
-        runs.run(source(40), "seq", lambda d: d, before_commit=lambda: other.run(source(30), "seq", lambda d: d))
-    assert runs.run(source(40), "seq", lambda d: d)["low"] == "29"
+        runs.run(source(40), "seq", lambda d, _: d, before_commit=lambda: other.run(source(30), "seq", lambda d, _: d))
+    assert runs.run(source(40), "seq", lambda d, _: d)["low"] == "29"
     assert sorted(r["seq"] for r in runs.read().collect()) == list(range(40))
-    with pytest.raises(ValueError):
-        runs.run(spark.createDataFrame([(None,)], "seq long"), "seq", lambda d: d)
+    with pytest.raises(ValueError, match="without seq"):
+        runs.run(spark.createDataFrame([(None,)], "seq long"), "seq", lambda d, _: d)
+    # a row that comes behind the watermark is not skipped in silence
+    late = source(60).unionByName(spark.createDataFrame([(5,)], "seq long"))
+    with pytest.raises(ValueError, match="1 rows came behind"):
+        runs.run(late, "seq", lambda d, _: d)
+    # outputs of runs that died are removed, committed ones are kept
+    assert runs.sweep() == 2 and runs.sweep() == 0
+    assert sorted(r["seq"] for r in runs.read().collect()) == list(range(40))
+    assert runs.last()["number"] == len(runs.commits()) - 1
+
+
+def test_rows_that_come_during_a_run(spark, tmp_path):
+    """The limit is fixed at the start: what the source gets while the work goes on is left to the next run."""
+    path = str(tmp_path / "source")
+    spark.range(10).withColumnRenamed("id", "seq").write.parquet(path)
+    runs = incremental.Runs(spark, str(tmp_path / "runs"))
+
+    def work(new, until):
+        spark.range(10, 14).withColumnRenamed("id", "seq").write.mode("append").parquet(path)
+        return new.select("seq").join(spark.read.parquet(path).groupBy().count(), how="cross")
+
+    assert runs.run(spark.read.parquet(path), "seq", work)["watermark"] == "9"
+    assert sorted(r["seq"] for r in runs.read().collect()) == list(range(10))
+    assert runs.run(spark.read.parquet(path), "seq", lambda new, until: new.withColumn("count", until.groupBy().count().first()["count"] + new["seq"] * 0))["low"] == "9"
+    assert sorted(r["seq"] for r in runs.read().collect()) == list(range(14))
+    # rows without a place are part of each run where work may repeat
+    odd = spark.createDataFrame([(None, 1), (20, 2)], "seq long, x int")
+    again = incremental.Runs(spark, str(tmp_path / "again"))
+    again.run(odd, "seq", lambda new, _: new, unplaced=True)
+    assert again.read().count() == 2 and again.run(odd, "seq", lambda new, _: new, unplaced=True) is None
