@@ -99,11 +99,25 @@ def architect(spark: SparkSession, path: str) -> dict:
     return {"profile": doc, "mermaid": mermaid_of(spark, doc)}
 
 
+def graph_facts(spark: SparkSession, doc: dict) -> dict:
+    """Degrees of the modules, and cycles of modules and of symbols, of one profile."""
+    links = spark.createDataFrame([(e["source"], e["target"]) for e in doc.get("internal") or []], "source string, target string")
+    nodes = spark.createDataFrame([(m["module"],) for m in doc.get("modules") or []], "module string")
+    calls = spark.createDataFrame([(e["source"], e["target"]) for e in doc.get("callEdges") or []], "source string, target string")
+
+    def rings(edges: DataFrame) -> list[dict]:
+        made = graph.cycles(edges).groupBy("component").agg(F.sort_array(F.collect_list("node")).alias("members")).orderBy("component")
+        return [{"members": r["members"], "severity": "MAJOR"} for r in made.collect()]
+
+    return {"degrees": documents(graph.degrees(nodes, links, "module").orderBy("module")), "cycles": rings(links), "callCycles": rings(calls)}
+
+
 def module_graph(spark: SparkSession, path: str, form: str) -> str:
     doc = scan(spark, path, skip_git=True)
     edges = doc.get("internal") or []
     if form == "json":
-        return json.dumps({"modules": doc.get("modules"), "internal": edges, "external": doc.get("external")}, ensure_ascii=False)
+        known = {"modules": doc.get("modules"), "internal": edges, "external": doc.get("external")}
+        return json.dumps(known | graph_facts(spark, doc), ensure_ascii=False)
     if form == "mermaid":
         return mermaid_of(spark, doc)
     return "\n".join([f"{len(doc.get('modules') or [])} modules, {len(edges)} edges", *(f"{e['source']} -> {e['target']} ({e['weight']})" for e in edges[:5])])

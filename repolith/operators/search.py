@@ -84,14 +84,24 @@ def in_range(value: Column, span: tuple[date, date] | None) -> Column:
     return value.isNull() | (value == "") | F.substring(value, 1, 10).between(span[0].isoformat(), span[1].isoformat())
 
 
-def context(commits: DataFrame, issues: DataFrame, repos: DataFrame, question: str, today: date, limit: int = words.EVIDENCE) -> DataFrame:
+def context(
+    commits: DataFrame, issues: DataFrame, repos: DataFrame, question: str, today: date, limit: int = words.EVIDENCE, index: dict[str, DataFrame] | None = None
+) -> DataFrame:
     """(ord, source, kind, text): what the store says to a question, at most ``limit`` blocks (a report).
 
     ``commits`` (id, full_name, authored_at, message), ``issues`` (id, full_name,
     number, state, title, opened_at), ``repos`` (id, full_name, description).
     Per kind the first matches by id are taken, then those out of the question's
-    range are left out; without terms the latest commits stand in.
+    range are left out; without terms the latest commits stand in.  ``index``
+    may have the postings of commits, issues and repos by these names; then
+    matches come from a join with them, and texts are not scanned.
     """
+
+    def matched(name: str, rows: DataFrame, text: str, terms: list[str]) -> DataFrame:
+        if not index or name not in index:
+            return match_any(rows, F.col(text), terms)
+        return rows.join(match_postings(index[name], "id", terms), "id", "left_semi")
+
     span = parse_range(question, today)
     spark = commits.sparkSession
     terms = spark.range(1).select(query_terms(F.lit(question)).alias("t")).first()["t"]
@@ -101,9 +111,9 @@ def context(commits: DataFrame, issues: DataFrame, repos: DataFrame, question: s
         recent = commits.orderBy(F.desc("authored_at"), "id").limit(limit).filter(in_range(F.col("authored_at"), span))
         blocks = recent.select(F.lit(0).alias("k"), F.col("id").alias("o"), *commit)
     else:
-        c = match_any(commits, F.col("message"), terms).orderBy("id").limit(3 * limit).filter(in_range(F.col("authored_at"), span))
-        i = match_any(issues, F.col("title"), terms).orderBy("id").limit(3 * limit).filter(in_range(F.col("opened_at"), span))
-        r = match_any(repos, F.col("description"), terms).orderBy("id").limit(limit)
+        c = matched("commits", commits, "message", terms).orderBy("id").limit(3 * limit).filter(in_range(F.col("authored_at"), span))
+        i = matched("issues", issues, "title", terms).orderBy("id").limit(3 * limit).filter(in_range(F.col("opened_at"), span))
+        r = matched("repos", repos, "description", terms).orderBy("id").limit(limit)
         blocks = c.select(F.lit(0).alias("k"), F.col("id").alias("o"), *commit)
         blocks = blocks.unionByName(
             i.select(

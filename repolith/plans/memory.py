@@ -37,7 +37,14 @@ class Memory:
     def search(self, question: str, today: date, limit: int = 8) -> DataFrame:
         commits = self.named("commits").select("id", "full_name", "authored_at", "message")
         issues = self.named("issues").select("id", "full_name", "number", "state", "title", "opened_at")
-        return search.context(commits, issues, self.table("repos").select("id", "full_name", "description"), question, today, limit)
+        return search.context(commits, issues, self.table("repos").select("id", "full_name", "description"), question, today, limit, self.index())
+
+    def index(self) -> dict[str, DataFrame]:
+        """The postings that are stored beside the tables, by table."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        at = {n: f"{self.folder}/index_{n}.parquet" for n in ("commits", "issues", "repos")}
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        return {n: self.spark.read.parquet(p) for n, p in at.items() if path(p).getFileSystem(conf).exists(path(p))}
 
     def get(self, ident: str) -> DataFrame:
         """(id, kind, uri, <fields>) of one entity; an error for what is no identifier or can't be shown."""

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from repolith.operators.store import latest, upsert
-from repolith.storage import shared_dir
+from repolith.storage import new_folder, remove
 
 
 def source(spark: SparkSession, folder: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -33,7 +31,7 @@ def windowed(events: DataFrame, at: str, by: list[str], value: str, window: str
 def run_to_end(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Process all that is there and give the result; state and output are in the shared folder."""
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    root = new_folder(spark, label)
     if mode == "append":
         query = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out")
         query.awaitTermination()
@@ -52,7 +50,7 @@ def upsert_stream(updates: DataFrame, root: str, keys: list[str], updated: list[
     """Apply a stream of updates to a state table under ``root``, one version for each batch.
 
     A batch that is run again writes its own version again from the version
-    before, so that nothing is applied twice.
+    before, so that nothing is applied twice; the one before that is removed.
     """
     spark = updates.sparkSession
 
@@ -60,5 +58,7 @@ def upsert_stream(updates: DataFrame, root: str, keys: list[str], updated: list[
         one = latest(batch, keys, [F.col(c) for c in order])
         now = one if epoch == 0 else upsert(spark.read.parquet(f"{root}/version={epoch - 1}"), one, keys, updated)
         now.write.mode("overwrite").parquet(f"{root}/version={epoch}")
+        if epoch > 1:
+            remove(spark, f"{root}/version={epoch - 2}")
 
     updates.writeStream.option("checkpointLocation", f"{root}/_state").foreachBatch(apply).trigger(availableNow=True).start().awaitTermination()

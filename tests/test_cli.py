@@ -57,6 +57,14 @@ def test_scan_and_graph(spark, traders):
     assert lines[0] == "flowchart LR" and len(lines) == 16
 
 
+def test_graph_facts(spark):
+    edge = lambda a, b: {"source": a, "target": b}
+    doc = {"modules": [{"module": m} for m in "abcd"], "internal": [edge("a", "b"), edge("b", "a"), edge("b", "c")], "callEdges": [edge("x", "y")]}
+    got = cli.graph_facts(spark, doc)
+    assert got["cycles"] == [{"members": ["a", "b"], "severity": "MAJOR"}] and got["callCycles"] == []
+    assert [(d["module"], d["in_degree"], d["out_degree"]) for d in got["degrees"]] == [("a", 1, 1), ("b", 1, 2), ("c", 1, 0), ("d", 0, 0)]
+
+
 def test_lite(spark, traders):
     lite, full = cli.scan(spark, traders, "lite"), cli.scan(spark, traders)
     assert all(lite[k] == full[k] for k in ("languages", "totalFiles", "largestFiles", "configFiles"))

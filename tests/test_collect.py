@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from datetime import date
 
 import pytest
 
 from repolith.operators import search
 from repolith.plans.collect import TABLES, Store
+from repolith.plans.memory import Memory
 from repolith.storage import scope, _written
 
 NOW = "2026-06-01T00:00:00Z"
@@ -46,6 +48,12 @@ def test_store(spark, tmp_path):
     assert s.table("commits").filter("sha = '1'").first()["authored_at"] == "2026-01-01T00:00:00Z"
     assert s.table("repos").filter("full_name = 'me/a'").first()[["first_synced_at", "last_synced_at"][0]] == NOW
     assert [tuple(r) for r in s.table("sync_state").collect()] == [("repos:me", "2026-07-01T00:00:00Z", None)]
+    # a question goes through the index
+    memory = Memory(spark, s.folder)
+    assert set(memory.index()) == {"commits", "issues", "repos"}
+    assert [(r["kind"], r["text"]) for r in memory.search("parser crash lexer", date(2026, 6, 1)).orderBy("ord").collect()] == [
+        ("commit", "fix the parser"), ("commit", "lexer"), ("issue", "[open] crash"), ("repo", "a lexer")
+    ]
     # verdicts, and what goes with a repository
     s.judge(spark.createDataFrame([("github:repo:me/a", "keep", None, NOW)], TABLES["verdicts"]))
     with pytest.raises(ValueError, match="no verdict: maybe"):

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import json
+import urllib.error
 from datetime import date
 
 import pytest
 
 from repolith import cli
 from repolith.plans.memory import Memory
-from repolith.sources import payloads
+from repolith.sources import fetch, payloads
 
 D = "/root/testdata/sf0.001"
 
@@ -35,6 +37,34 @@ def test_payloads(spark, tmp_path):
     assert (r["id"], r["stars"], r["is_fork"], r["topics_json"], r["visibility"]) == ("github:repo:o/a", 0, 1, '["x"]', "public")
 
 
+class Forge:
+    """Answers of a forge by page, some of them refusals."""
+
+    def __init__(self, answers):
+        self.answers, self.asked, self.slept = list(answers), [], []
+
+    def __call__(self, request, timeout):
+        self.asked.append((request.full_url, request.headers.get("Authorization")))
+        a = self.answers.pop(0)
+        if isinstance(a, int):
+            raise urllib.error.HTTPError(request.full_url, a, "no", {"X-RateLimit-Remaining": "0"}, None)
+        return io.BytesIO(json.dumps(a).encode() if a is not None else b"no json")
+
+
+def test_fetch(spark, tmp_path):
+    forge = Forge([[{"number": 1}, {"number": 2}], 403, [{"number": 3}]])
+    how = {"opener": forge, "sleep": forge.slept.append}
+    assert fetch.save("https://forge.test/issues?state=all", str(tmp_path), "o/a", "t", per_page=2, **how) == 3
+    assert forge.slept == [60] and forge.asked[0] == ("https://forge.test/issues?state=all&per_page=2&page=1", "Bearer t")
+    assert sorted(r["number"] for r in payloads.issues(payloads.read_pages(spark, str(tmp_path), "issues", per_page=2)).collect()) == [1, 2, 3]
+    for answers, error in (([404], fetch.NotFound), ([429, 429], fetch.RateLimited), ([500], fetch.FetchError), ([None], fetch.FetchError)):
+        forge = Forge(answers)
+        with pytest.raises(error):
+            fetch.get("https://forge.test/x", opener=forge, sleep=forge.slept.append)
+    assert list(fetch.pages("https://forge.test/x", opener=Forge([{"message": "no list"}]))) == []
+    assert len(list(fetch.pages("https://forge.test/x", per_page=1, max_pages=2, opener=Forge([[1], [2], [3]])))) == 2
+
+
 def test_memory(spark):
     m = Memory(spark, D)
     repo = m.table("commits").groupBy("repo_id").count().orderBy("count", ascending=False).first()["repo_id"]

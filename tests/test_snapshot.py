@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from repolith.operators import declared, files, graph, modules
 from repolith.plans import profile as P
+from repolith.rules import tables
 from repolith.sources.gitlog import head, read_gitlog
 from repolith.sources.tree import read_tree
 
@@ -157,6 +158,10 @@ def test_git_log(spark, tmp_path):
     assert head(str(tmp_path / "none"))["head_branch"] is None
 
 
+def test_rules_are_sound():
+    assert tables.faults() == []
+
+
 def test_missing_root(spark, tmp_path):
     with pytest.raises(Exception, match="NotADirectory|none"):
         read_tree(spark, str(tmp_path / "none")).count()
