@@ -152,11 +152,13 @@ def probe_keys(tokens: np.ndarray, counts: np.ndarray, low: int, segments: int,
 def classes(df: DataFrame, record: str, items: str) -> tuple[DataFrame, DataFrame]:
     """(class, items, n) of the distinct sets and (record, class) of their members.
 
-    A class is named by 128 bits of a cryptographic hash of its items.
+    A class is named by 128 bits of a cryptographic hash of its items.  The
+    records with their sets are written once, as both results read them.
     """
     made = df.select(F.col(record).alias("r"), F.sort_array(F.array_distinct(F.col(items))).alias("items")).filter("r is not null and items is not null")
     made = made.withColumn("class", F.unhex(F.substring(F.sha2(F.to_json("items"), 256), 1, 32)))
-    sets = made.select("class", "items").distinct().withColumn("n", F.size("items"))
+    made = materialize(made, "members")
+    sets = made.groupBy("class").agg(F.first("items").alias("items")).withColumn("n", F.size("items"))
     return sets, made.select(F.col("r").alias(record), "class").distinct()
 
 
