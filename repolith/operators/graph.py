@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from repolith.functions.paths import node_type
+from repolith.operators.fold import fold_sorted
 from repolith.rules import tables
 from repolith.storage import materialize
 
@@ -91,6 +93,76 @@ def cycles(edges: DataFrame) -> DataFrame:
     return found.join(names, "c").select("node", "component")
 
 
+#: Edges of a graph up to which one task finds its components.
+ONE_TASK = 200_000
+
+
+def strong_components(edges: Iterable[tuple[str, str]]) -> Iterator[list[str]]:
+    """Strongly connected components of more than one node of a graph that fits in memory, by one walk in depth."""
+    after: dict[str, list[str]] = {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+    number: dict[str, int] = {}  # in the order of the walk
+    low: dict[str, int] = {}  # the least number that a node is known to reach among those not yet in a component
+    waiting: list[str] = []
+    placed: set[str] = set()
+    for start in after:
+        if start in number:
+            continue
+        path = [(start, iter(after[start]))]
+        number[start] = low[start] = len(number)
+        waiting.append(start)
+        while path:
+            node, rest = path[-1]
+            for b in rest:
+                if b not in number:
+                    number[b] = low[b] = len(number)
+                    waiting.append(b)
+                    path.append((b, iter(after.get(b, ()))))
+                    break
+                if b not in placed:
+                    low[node] = min(low[node], number[b])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
+                if low[node] == number[node]:
+                    cut = len(waiting) - 1
+                    while waiting[cut] != node:
+                        cut -= 1
+                    made = waiting[cut:]
+                    del waiting[cut:]
+                    placed.update(made)
+                    if len(made) > 1:
+                        yield made
+
+
+def cycles_of_each(edges: DataFrame, by: str, one_task: int = ONE_TASK) -> DataFrame:
+    """(by, node, component): ``cycles`` of many graphs, edges having (by, source, target).
+
+    A graph of up to ``one_task`` edges is walked by one task; larger ones take
+    the way of ``cycles`` together, so no task holds more.
+    """
+    clean = edges.select(by, "source", "target").filter(F.col(by).isNotNull() & F.col("source").isNotNull() & F.col("target").isNotNull()).distinct()
+    sizes = clean.groupBy(by).agg(F.count("*").alias("size"))
+    sized = materialize(clean.join(sizes, by), "graphs")
+    schema = T.StructType([sized.schema[by], T.StructField("node", T.StringType()), T.StructField("component", T.StringType())])
+
+    def walk(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        for made in strong_components(rows):
+            yield from ((*key, n, min(made)) for n in made)
+
+    small = fold_sorted(sized.filter(F.col("size") <= one_task).select(by, "source", "target"), [by], ["source", "target"], walk, schema)
+    large = sized.filter(F.col("size") > one_task)
+    if large.isEmpty():
+        return small
+    named = lambda c: F.to_json(F.struct(F.col(by).alias("g"), F.col(c).alias("n")))
+    found = cycles(large.select(named("source").alias("source"), named("target").alias("target")))
+    part = lambda c, f: F.get_json_object(c, f"$.{f}")
+    found = found.select(part("node", "g").cast(sized.schema[by].dataType).alias(by), part("node", "n").alias("node"), part("component", "n").alias("component"))
+    return small.unionByName(found)
+
+
 def self_loops(edges: DataFrame) -> DataFrame:
     return edges.filter("source = target").select(F.col("source").alias("node")).distinct()
 

@@ -42,12 +42,6 @@ def links_of(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("repo", F.split("s", " ").getItem(0).alias("source"), F.split("s", " ").getItem(3).alias("target"))
 
 
-def node_links(spark, d):
-    """The same with nodes ``repo|module``."""
-    node = lambda c: F.concat_ws("|", "repo", c)
-    return links_of(spark, d).filter("repo is not null").select(node("source").alias("source"), node("target").alias("target")).distinct()
-
-
 def lang_share(spark, d):
     return files.language_stats(docs_of(spark, d), [], "lang", F.col("loc")).orderBy(F.desc("loc"), "name")
 
@@ -120,7 +114,10 @@ def degrees(spark, d):
 
 
 def scc_cycles(spark, d):
-    return graph.cycles(node_links(spark, d))
+    """Cycles of the modules of each repository; nodes are ``repo|module``."""
+    made = graph.cycles_of_each(links_of(spark, d), "repo")
+    at = lambda c: F.concat_ws("|", "repo", c).alias(c)
+    return made.select(at("node"), at("component"))
 
 
 def mermaid_lines(spark, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 import subprocess
 
 import pytest
@@ -124,6 +125,30 @@ def test_cycles(spark):
     assert graph.cycles(edges.limit(0)).count() == 0
 
 
+def test_cycles_of_many_graphs(spark):
+    r = random.Random(4)
+    edges = [(g, f"n{r.randint(0, 25)}", f"n{r.randint(0, 25)}") for g in "abcdef" for _ in range(r.randint(10, 45))] + [("deep", f"x{i}", f"x{i + 1}") for i in range(9)] + [("deep", "x9", "x0"), (None, "n1", "n2"), ("a", None, "n1")]
+    reach = {}
+    for g in {g for g, *_ in edges if g}:
+        own = {(a, b) for h, a, b in edges if h == g and a and b}
+        nodes = {x for e in own for x in e}
+        seen = {n: {n} for n in nodes}
+        for n in nodes:
+            todo = [n]
+            while todo:
+                x = todo.pop()
+                for a, b in own:
+                    if a == x and b not in seen[n]:
+                        seen[n].add(b)
+                        todo.append(b)
+        reach |= {(g, n): min(m for m in nodes if m in seen[n] and n in seen[m]) for n in nodes if any(m != n and n in seen[m] for m in seen[n])}
+    df = spark.createDataFrame(edges, "component string, source string, target string")
+    for one_task in (1_000, 30):
+        got = {(x["g"], x["node"]): x["component"] for x in graph.cycles_of_each(df.withColumnRenamed("component", "g"), "g", one_task).collect()}
+        assert got == reach
+    assert list(graph.strong_components([(f"y{i}", f"y{i + 1}") for i in range(50_000)] + [("y50000", "y0")]))[0].__len__() == 50_001
+
+
 def test_maven_and_versions(spark):
     pom = """<project><parent><version>9</version></parent><version>1.2.3</version>
 <dependencyManagement><dependencies><dependency><groupId>m</groupId><artifactId>managed</artifactId><version>1</version></dependency></dependencies></dependencyManagement>
