@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.storage import materialize
@@ -15,19 +15,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of undirected edges (a, b): the least node that can be reached.
 
     Edges with a null end are left out; an edge from a node to itself makes it a
-    component.  Neighbours are never gathered: each step is a minimum by node
-    and a join back.  Each round is written to the shared folder.
+    component.  Each step passes once over the neighbours of each node in their
+    order, of which the first is the least: one exchange, and no gathering in
+    memory, as a window spills; a node of very many neighbours is one task's.
+    Each round is written to the shared folder.
     """
     nodes = edges.filter("a is not null and b is not null").select(F.explode(F.array("a", "b")).alias("node")).distinct()
     now = materialize(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
     mark = None
+    least = F.min("v").over(Window.partitionBy("u").orderBy("v"))
     for _ in range(MOST_ROUNDS):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        large = both.withColumn("m", F.least("u", least)).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         small = (
-            large.join(least, "u")
+            large.withColumn("m", least)
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.*")
             .filter("u != v")

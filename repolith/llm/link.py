@@ -9,6 +9,11 @@ entities:
 - a name node: identities with this name, or a variant that nobody else bears,
   unless the name is known to belong to several people: unless it is used with
   several handles that cannot be derived from it.
+
+The driver keeps plans, threads and tasks of every exchange, however few its
+rows are.  So plans are cut where they get long, what a key says itself is not
+joined, and ties of one identity become links between nodes before components
+are sought.
 """
 
 from __future__ import annotations
@@ -31,6 +36,20 @@ def _letters(handle: Column) -> Column:
     return F.regexp_replace(handle, "[^a-z]", "")
 
 
+def _key(x: Column, y: Column) -> Column:
+    """The two words of a name in their order, so that either order of typing is one name."""
+    return F.array_join(F.sort_array(F.array(x, y)), " ")
+
+
+def _words(key: Column) -> tuple[Column, Column]:
+    return F.substring_index(key, " ", 1), F.substring_index(key, " ", -1)
+
+
+def _each(df: DataFrame, *rows: Column) -> DataFrame:
+    """Several rows of each row, in one pass."""
+    return df.select(F.explode(F.array(*rows)).alias("e")).select("e.*")
+
+
 def learned(rows: DataFrame) -> DataFrame:
     """(word, long): short forms of given names that the rows themselves show.
 
@@ -40,30 +59,28 @@ def learned(rows: DataFrame) -> DataFrame:
     once, and people who share a mailbox and a family name have names of all
     kinds, but a short form has one long form.
     """
-    used = rows.filter("first is not null and not organisation").select("handle", "first", "last").distinct()
-    views = used.select("handle", F.col("last").alias("family"), F.col("first").alias("word")).unionByName(used.select("handle", F.col("first").alias("family"), F.col("last").alias("word")))
+    view = lambda family, word: F.struct("handle", F.col(family).alias("family"), F.col(word).alias("word"))
+    views = _each(rows.filter("first is not null and not organisation"), view("last", "first"), view("first", "last")).distinct()
     bearers = views.groupBy("word").agg(F.count_distinct("family").alias("bearers"))
-    forms = views.filter("not startswith(handle, '@')").distinct()
+    forms = views.filter("not startswith(handle, '@')")
     met = (
         forms.join(forms.withColumnRenamed("word", "long"), ["handle", "family"])
         .filter("word != long")
         .groupBy("word", "long")
         .agg(F.count_distinct("family").alias("families"))
-        .join(bearers, "word")
         .join(bearers.select(F.col("word").alias("long"), F.col("bearers").alias("long_bearers")), "long")
     )
-    best = F.struct("families", "long_bearers", "long", "bearers").alias("b")
-    found = met.groupBy("word").agg(F.max(best)["families"].alias("families"), F.max(best)["long"].alias("long"), F.max(best)["long_bearers"].alias("long_bearers"), F.max(best)["bearers"].alias("bearers"), F.sum("families").alias("all"))
+    best = F.max(F.struct("families", "long_bearers", "long")).alias("b")
+    found = met.groupBy("word").agg(best, F.sum("families").alias("all")).select("word", "b.*", "all").join(bearers, "word")
     return found.filter((F.col("families") >= FAMILIES) & (F.col("families") >= SHARE * F.col("all")) & (F.col("long_bearers") > F.col("bearers"))).select("word", "long")
 
 
 def long_forms(rows: DataFrame, forms: DataFrame) -> DataFrame:
-    """Rows with learned short forms in ``first``, ``last`` and ``single`` made long."""
+    """Rows, numbered by ``no``, with learned short forms in ``first``, ``last`` and ``single`` made long."""
     words = F.explode(F.array_distinct(F.array_compact(F.array("first", "last", "single")))).alias("word")
-    numbered = materialize(rows.withColumn("no", F.monotonically_increasing_id()), "numbered")
-    changed = numbered.filter("not organisation").select("no", words).join(forms, "word").groupBy("no").agg(F.map_from_entries(F.collect_list(F.struct("word", "long"))).alias("of"))
+    changed = rows.filter("not organisation").select("no", words).join(forms, "word").groupBy("no").agg(F.map_from_entries(F.collect_list(F.struct("word", "long"))).alias("of"))
     long = lambda c: F.coalesce(F.element_at("of", F.col(c)), F.col(c)).alias(c)
-    return numbered.join(changed, "no", "left").select(*(long(c) if c in ("first", "last", "single") else F.col(c) for c in rows.columns))
+    return rows.join(changed, "no", "left").select(*(long(c) if c in ("first", "last", "single") else F.col(c) for c in rows.columns if c != "no"))
 
 
 def _variant_keys(keys: DataFrame) -> DataFrame:
@@ -73,23 +90,19 @@ def _variant_keys(keys: DataFrame) -> DataFrame:
     ``key`` that differs is borne by few names, and that of ``other`` by many,
     as with a given name and a slip in typing it.
     """
-    views = keys.select("key", F.col("first").alias("block"), F.col("last").alias("rest")).unionByName(
-        keys.select("key", F.col("last").alias("block"), F.col("first").alias("rest"))
-    )
-    near = name_pairs(views, "block", "rest")
+    views = _each(keys, F.struct(F.col("first").alias("block"), F.col("last").alias("rest")), F.struct(F.col("last").alias("block"), F.col("first").alias("rest")))
     bearers = views.groupBy(F.col("rest").alias("word")).agg(F.count("*").alias("c"))
-    x = near.join(views.select("block", F.col("rest").alias("a"), F.col("key").alias("kx")), ["block", "a"])
     both = (
-        x.join(views.select("block", F.col("rest").alias("b"), F.col("key").alias("ky")), ["block", "b"])
-        .filter("kx != ky")
+        name_pairs(views, "block", "rest")
         .join(bearers.select(F.col("word").alias("a"), F.col("c").alias("ca")), "a")
         .join(bearers.select(F.col("word").alias("b"), F.col("c").alias("cb")), "b")
     )
-    slip = (F.col("ca") <= FEW) & (F.col("cb") >= MANY * F.col("ca"))
-    one = both.select(F.col("kx").alias("key"), F.col("ky").alias("other"), "distance", slip.alias("slip"))
-    slip = (F.col("cb") <= FEW) & (F.col("ca") >= MANY * F.col("cb"))
-    two = both.select(F.col("ky").alias("key"), F.col("kx").alias("other"), "distance", slip.alias("slip"))
-    return one.unionByName(two).groupBy("key", "other").agg(F.min("distance").alias("distance"), F.bool_or("slip").alias("slip"))
+
+    def way(x: str, y: str) -> Column:
+        slip = (F.col("c" + x) <= FEW) & (F.col("c" + y) >= MANY * F.col("c" + x))
+        return F.struct(_key(F.col("block"), F.col(x)).alias("key"), _key(F.col("block"), F.col(y)).alias("other"), "distance", slip.alias("slip"))
+
+    return _each(both, way("a", "b"), way("b", "a")).groupBy("key", "other").agg(F.min("distance").alias("distance"), F.bool_or("slip").alias("slip"))
 
 
 def _close(x: Column, y: Column) -> Column:
@@ -105,16 +118,18 @@ def _mailbox_variants(used: DataFrame) -> DataFrame:
     met = name_pairs(words, "handle", "word").join(side("a", "_x"), ["block", "a"]).join(side("b", "_y"), ["block", "b"])
     straight = _close(F.col("first_x"), F.col("first_y")) & _close(F.col("last_x"), F.col("last_y"))
     crossed = _close(F.col("first_x"), F.col("last_y")) & _close(F.col("last_x"), F.col("first_y"))
-    found = met.filter((straight | crossed) & (F.col("key_x") != F.col("key_y"))).select(F.col("block").alias("handle"), F.col("key_x").alias("key"), F.col("key_y").alias("other"))
-    return found.unionByName(found.select("handle", F.col("other").alias("key"), F.col("key").alias("other"))).distinct()
+    found = met.filter((straight | crossed) & (F.col("key_x") != F.col("key_y")))
+    way = lambda x, y: F.struct(F.col("block").alias("handle"), F.col("key_" + x).alias("key"), F.col("key_" + y).alias("other"))
+    return _each(found, way("x", "y"), way("y", "x"))
 
 
 def _shortened(used: DataFrame) -> DataFrame:
     """(handle, key, other): names used with one handle of which one word is equal and the other, of two letters at least, begins the other."""
-    views = used.select("handle", "key", F.col("first").alias("family"), F.col("last").alias("word")).unionByName(used.select("handle", "key", F.col("last").alias("family"), F.col("first").alias("word")))
+    view = lambda family, word: F.struct("handle", "key", F.col(family).alias("family"), F.col(word).alias("word"))
+    views = _each(used, view("first", "last"), view("last", "first"))
     met = views.join(views.select("handle", "family", F.col("key").alias("other"), F.col("word").alias("whole")), ["handle", "family"])
-    found = met.filter((F.length("word") >= 2) & (F.col("word") != F.col("whole")) & F.startswith("whole", F.col("word")) & (F.col("key") != F.col("other"))).select("handle", "key", "other")
-    return found.unionByName(found.select("handle", F.col("other").alias("key"), F.col("key").alias("other")))
+    found = met.filter((F.length("word") >= 2) & (F.col("word") != F.col("whole")) & F.startswith("whole", F.col("word")) & (F.col("key") != F.col("other")))
+    return _each(found, F.struct("handle", "key", "other"), F.struct("handle", F.col("other").alias("key"), F.col("key").alias("other")))
 
 
 def link(df: DataFrame, key: str, name: str, email: str) -> DataFrame:
@@ -124,18 +139,19 @@ def link(df: DataFrame, key: str, name: str, email: str) -> DataFrame:
     without an id are left out, as are null and empty names and addresses as
     evidence; repeated ids are one identity with several spellings.
     """
-    typed = materialize(parsed(df.filter(F.col(key).isNotNull()).select(key, name, email).distinct(), key, name, email), "typed")
+    typed = parsed(df.filter(F.col(key).isNotNull()).select(key, name, email).distinct(), key, name, email)
+    typed = materialize(typed.withColumn("no", F.monotonically_increasing_id()), "typed")
     rows = (
-        long_forms(typed, learned(typed))
-        .withColumn("key", F.when(F.col("first").isNotNull(), F.array_join(F.sort_array(F.array("first", "last")), " ")))
+        long_forms(typed, materialize(learned(typed), "forms"))
+        .withColumn("key", F.when(F.col("first").isNotNull(), _key(F.col("first"), F.col("last"))))
         # a role's mailbox names an organisation, and nobody else
         .withColumn("handle", F.when(F.col("organisation") | ~F.startswith("handle", F.lit("@")), F.col("handle")))
         .withColumn("row", F.xxhash64("id", "first", "last", "single", "initials", "handle"))
     )
     rows = materialize(rows, "identities")
     named = rows.filter("key is not null")
-    keys = named.groupBy("key").agg(F.min("first").alias("first"), F.min("last").alias("last"), F.max("organisation").alias("organisation"), F.count("*").alias("times"))
-    keys = materialize(keys.withColumns({"first": F.substring_index("key", " ", 1), "last": F.substring_index("key", " ", -1)}), "names")
+    first, last = _words(F.col("key"))
+    keys = materialize(named.groupBy("key").agg(F.count("*").alias("times")).withColumns({"first": first, "last": last}), "names")
     variants = materialize(_variant_keys(keys), "variants")
 
     # The main name of a handle: one that the handle is derived from, the one with most variants, and the most used.
@@ -143,22 +159,22 @@ def link(df: DataFrame, key: str, name: str, email: str) -> DataFrame:
     used = materialize(used, "used")
     twice = materialize(_mailbox_variants(used).unionByName(_shortened(used)).distinct(), "twice")
     beside = used.select("handle", F.col("key").alias("other"), "n")
-    support = (
+    together = (
         beside.join(variants.select("key", "other"), "other")
+        .join(used.select("handle", "key"), ["handle", "key"], "left_semi")
         .select("handle", "key", "other", "n")
         .unionByName(beside.join(twice, ["handle", "other"]).select("handle", "key", "other", "n"))
         .dropDuplicates(["handle", "key", "other"])  # a pair may be both
-        .groupBy("handle", "key")
-        .agg(F.sum("n").alias("support"))
     )
+    together = materialize(together, "together")
+    support = together.groupBy("handle", "key").agg(F.sum("n").alias("support"))
     rank = F.struct(
         derived(_letters(F.col("handle")), F.col("first"), F.col("last")).alias("d"), (F.coalesce("support", F.lit(0)) + F.col("n")).alias("s"), "n", "times", "key"
     )
     main = used.join(support, ["handle", "key"], "left").groupBy("handle").agg(F.max(rank)["key"].alias("main"))
-    words = keys.select(F.col("key").alias("main"), F.col("first").alias("ma"), F.col("last").alias("mb"))
-    near = used.select("handle", "key").join(variants.select("key", F.col("other").alias("main")), "key").join(main, ["handle", "main"], "left_semi")
-    near = near.unionByName(twice.withColumnRenamed("other", "main")).distinct().withColumn("near", F.lit(True))
-    at = rows.filter("handle is not null").join(main, "handle").join(words, "main").join(near, ["handle", "key", "main"], "left")
+    near = together.select("handle", "key", F.col("other").alias("main"), F.lit(True).alias("near"))
+    ma, mb = _words(F.col("main"))
+    at = rows.filter("handle is not null").join(main, "handle").join(near, ["handle", "key", "main"], "left").withColumns({"ma": ma, "mb": mb})
     a, b, single, initials = F.col("ma"), F.col("mb"), F.col("single"), F.col("initials")
     one_initial = F.length("initials") > 0
     weak = F.col("key").isNull() & any_of(
@@ -174,20 +190,20 @@ def link(df: DataFrame, key: str, name: str, email: str) -> DataFrame:
         single.isNull() & ~one_initial & derived(_letters(F.col("handle")), a, b),
     )
     fits = any_of(F.col("key") == F.col("main"), F.col("near"), weak)
-    held = at.withColumn("as", F.when(fits, F.col("main")).otherwise(F.col("key"))).filter("as is not null")
-    held = materialize(held.select("id", "row", "key", "handle", "as", F.col("main"), fits.alias("fits")), "held")
+    # written before it is used, else its long conditions are compiled wherever it is
+    held = materialize(at.select("id", "row", "key", "handle", "main", fits.alias("fits")), "held")
+    held = held.withColumn("as", F.when(F.col("fits"), F.col("main")).otherwise(F.col("key"))).filter("as is not null")
     mailbox_ties = held.select("id", F.concat_ws("|", F.lit("h"), "handle", "as").alias("node"))
 
     # Handles used under one name only, and how they go with it.
     shared = held.groupBy("handle").agg(F.count_if(~F.col("fits")).alias("others")).filter("others > 0").select("handle")
     own = held.filter("fits").select("handle", "main").distinct().join(shared, "handle", "left_anti")
-    own = own.join(words, "main")
+    own = own.withColumns({"ma": ma, "mb": mb})
     head = F.substring("handle", 2, 1 << 20)
     belongs = F.when(F.startswith("handle", F.lit("@")), any_of(head == a, head == b, F.levenshtein(head, a, 2) >= 0, F.levenshtein(head, b, 2) >= 0)).otherwise(
         derived(_letters(F.col("handle")), a, b)
     )
-    own = materialize(own.withColumn("belongs", belongs), "handles")
-    known = own.groupBy("main").agg(F.count_if("belongs").alias("proper"), F.count_if(~F.col("belongs")).alias("foreign"))
+    known = own.withColumn("belongs", belongs).groupBy("main").agg(F.count_if("belongs").alias("proper"), F.count_if(~F.col("belongs")).alias("foreign"))
     state = (
         keys.join(known.withColumnRenamed("main", "key"), "key", "left")
         .withColumns({"proper": F.coalesce("proper", F.lit(0)), "foreign": F.coalesce("foreign", F.lit(0))})
@@ -218,7 +234,7 @@ def link(df: DataFrame, key: str, name: str, email: str) -> DataFrame:
         .agg(F.min("other").alias("key"), F.count_distinct("other").alias("c"))
         .filter("c = 1")
     )
-    variant_ties = close.select("id", node.alias("node"))
+    variant_ties = materialize(close.select("id", node.alias("node")), "close")
 
     # Weak names by a handle that is derived from one settled name.
     unnamed = rows.filter("key is null and (single is not null or initials != '')")
@@ -230,7 +246,8 @@ def link(df: DataFrame, key: str, name: str, email: str) -> DataFrame:
     )
     letters = target.select("other", "ma", "mb", F.explode(handles_of(F.col("ma"), F.col("mb"))).alias("letters"))
     by_handle = (
-        unnamed.filter("handle is not null").withColumn("letters", _letters(F.col("handle"))).join(letters, "letters").filter(goes)
+        # handles are many times larger than the names they are made of, by whose size they would be broadcast
+        unnamed.filter("handle is not null").withColumn("letters", _letters(F.col("handle"))).join(letters.hint("merge"), "letters").filter(goes)
     )
     # Without a handle, by a word and an initial.
     by_word = (
@@ -246,11 +263,17 @@ def link(df: DataFrame, key: str, name: str, email: str) -> DataFrame:
         .filter("c = 1")
         .select("id", node.alias("node"))
     )
+    ties = mailbox_ties.unionByName(name_ties).unionByName(variant_ties).unionByName(weak_ties).unionByName(rows.select("id", F.lit(None).cast("string").alias("node")))
+
+    # An identity's ties link its nodes, and many identities link the same ones; it goes with the least of its nodes, or alone.
     me = F.concat_ws("|", F.lit("i"), F.col("id").cast("string"))
-    ties = mailbox_ties.unionByName(name_ties).unionByName(variant_ties).unionByName(weak_ties)
-    edges = ties.select(me.alias("a"), F.col("node").alias("b")).unionByName(rows.select(me.alias("a"), me.alias("b")))
-    found = components(edges.distinct())
-    return rows.select("id").distinct().withColumn("node", me).join(found, "node").select(F.col("id").alias(key), F.col("component").alias("entity"))
+    top = F.min("node").over(Window.partitionBy("id").orderBy(F.asc_nulls_last("node")))
+    ties = materialize(ties.withColumn("top", F.coalesce(top, me)), "ties")
+    found = components(ties.select(F.col("top").alias("a"), F.col("node").alias("b")))
+    tied = ties.select("id", F.col("top").alias("node")).distinct().join(found, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
+    tied = materialize(tied, "tied")
+    least = tied.groupBy("component").agg(F.least("component", F.min(me)).alias("entity"))
+    return tied.join(least, "component").select(F.col("id").alias(key), "entity")
 
 
 def pairs(linked: DataFrame, key: str) -> DataFrame:
